@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import neardup, overlap, tokenizer
-from pagemill.session import table
+from pagemill.llm import neardup, overlap, quality, splits, subjects, tokenizer
+from pagemill.session import materialize, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
 
 
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation split and source: pages with overlaps, pairs, the mean overlap fraction and the doc_ids concerned."""
+    pages = table(spark, sf_dir, "page_records")
+    members, fractions, pairs = overlap.split_overlaps(pages)
+    return overlap.report(pages, members, fractions, pairs)
+
+
+def p1_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, fractions, _ = overlap.split_overlaps(table(spark, sf_dir, "page_records"))
+    return members.where("not train").join(fractions.withColumnRenamed("overlap", "overlap_fraction"), "key").select("id", "split", "overlap_fraction")
+
+
+def p2_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "page_records")
+    return subjects.page_areas(pages, subjects.fit_lexicon(pages, table(spark, sf_dir, "area_examples")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_areas(spark, sf_dir).select("id", "area")
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_areas(spark, sf_dir).groupBy("area").agg(F.count("*").alias("n_pages"), F.sum("share").alias("n_page_shares"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = neardup.near_duplicates(table(spark, sf_dir, "page_records"))
     return neardup.pairs_within(members)
@@ -26,15 +51,51 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group_report(*neardup.near_duplicates(table(spark, sf_dir, "page_records")))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.found_groups(*splits.page_groups(table(spark, sf_dir, "page_records"), table(spark, sf_dir, "doc_origins")))
+
+
+def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages at once, from an empty table of components."""
+    pages, _ = splits.split_pages(table(spark, sf_dir, "page_records"), table(spark, sf_dir, "doc_origins"))
+    return pages
+
+
+def p6_incremental(spark: SparkSession, sf_dir: str, before: str = "2025-07-01") -> DataFrame:
+    """What was there before a day is split first; the rest comes as a second batch over the persisted components."""
+    pages, origins = table(spark, sf_dir, "page_records"), table(spark, sf_dir, "doc_origins")
+    _, persisted = splits.split_pages(pages.where(F.col("ingested_at") < before), origins.where(F.col("registered_at") < before))
+    after, _ = splits.split_pages(pages, origins, materialize(persisted, "persisted-components"))
+    return after
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_statistics(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_running_text(quality.text_statistics(table(spark, sf_dir, "documents")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p1_fractions": p1_fractions,
+    "p2_found": p2_found,
+    "p2_areas": p2_areas,
+    "p2_counts": p2_counts,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p6_found": p6_found,
+    "p6_splits": p6_splits,
+    "p6_incremental": p6_incremental,
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
+    "p9_statistics": p9_statistics,
 }
 
 SQL: dict[str, str] = {}

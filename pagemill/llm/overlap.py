@@ -127,3 +127,15 @@ def page_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = members.where("not train").select(F.col("key").alias("a"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"))
     there = members.where("train").select(F.col("key").alias("b"), F.col("id").alias("train_id"))
     return pairs.join(asked, "a").join(there, "b").where("eval_id <> train_id").select("eval_id", "eval_split", "train_id", "containment")
+
+
+def report(pages: DataFrame, members: DataFrame, fractions: DataFrame, pairs: DataFrame, id_col: str = "id", doc_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """One row for each evaluation split, source and doc_id with overlaps: pages, pairs and the greatest overlap fraction.
+
+    A null source or doc_id is a value of its own; a page that was delivered with several takes the least.
+    """
+    found = page_pairs(members, pairs).groupBy("eval_id", "eval_split").agg(F.countDistinct("train_id").alias("n_pairs"))
+    share = members.where("not train").join(fractions, "key").groupBy(F.col("id").alias("eval_id")).agg(F.max("overlap").alias("overlap"))
+    labels = pages.groupBy(F.col(f"`{id_col}`").cast("string").alias("eval_id")).agg(F.min(f"`{doc_col}`").alias("doc_id"), F.min(f"`{source_col}`").alias("source"))
+    rows = found.join(share, "eval_id", "left").join(labels, "eval_id", "left")
+    return rows.groupBy(F.col("eval_split").alias("split"), "source", "doc_id").agg(F.countDistinct("eval_id").alias("n_pages"), F.sum("n_pairs").alias("n_pairs"), F.max("overlap").alias("most_overlap"))

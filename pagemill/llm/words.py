@@ -8,7 +8,7 @@ import unicodedata
 import numpy as np
 import xxhash
 
-_INVISIBLE = re.compile("[­​-‍⁠﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 
 _M1 = np.uint64(0x9E3779B97F4A7C15)
