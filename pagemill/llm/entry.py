@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import neardup, overlap, quality, splits, subjects, tokenizer
+from pagemill.llm import mixing, neardup, overlap, packing, pieces, quality, splits, subjects, tokenizer
 from pagemill.session import materialize, table
 
 
@@ -42,6 +42,27 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_areas(spark, sf_dir).groupBy("area").agg(F.count("*").alias("n_pages"), F.sum("share").alias("n_page_shares"))
 
 
+def _limit(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
+    row = table(spark, sf_dir, "size_limits").where(F.col("limit_name") == name).first()
+    return row["max_chars"], row["overlap_chars"]
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target_texts of the tasks and of the pages (a page delivered again is one)."""
+    tasks = table(spark, sf_dir, "task_specs").select(F.lit("task_specs").alias("item_table"), F.col("spec_id").cast("string").alias("item_id"), F.length("target_text").alias("length"))
+    pages = table(spark, sf_dir, "page_records").groupBy("id").agg(F.max(F.length("target_text")).alias("length"))
+    return tasks.union(pages.select(F.lit("page_records"), "id", "length"))
+
+
+def p3_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_items(spark, sf_dir), _limit(spark, sf_dir, "container")[0])
+
+
+def p3_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity = _limit(spark, sf_dir, "container")[0]
+    return packing.fill_report(packing.pack(_items(spark, sf_dir), capacity), capacity)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = neardup.near_duplicates(table(spark, sf_dir, "page_records"))
     return neardup.pairs_within(members)
@@ -51,6 +72,15 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group_report(*neardup.near_duplicates(table(spark, sf_dir, "page_records")))
 
 
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.page_pieces(table(spark, sf_dir, "page_records"), *_limit(spark, sf_dir, "piece"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pieces.oversized_pieces(pieces.page_texts(table(spark, sf_dir, "page_records")), *_limit(spark, sf_dir, "piece"))
+    return cut.where("n_pieces > 1").select("id").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.found_groups(*splits.page_groups(table(spark, sf_dir, "page_records"), table(spark, sf_dir, "doc_origins")))
 
@@ -69,6 +99,14 @@ def p6_incremental(spark: SparkSession, sf_dir: str, before: str = "2025-07-01")
     return after
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf_dir, "documents"))
 
@@ -88,12 +126,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_areas": p2_areas,
     "p2_counts": p2_counts,
+    "p3_containers": p3_containers,
+    "p3_fill": p3_fill,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p6_incremental": p6_incremental,
     "p7_ids": p7_ids,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
 }
