@@ -124,11 +124,9 @@ def describe(text: str | None) -> dict:
     out = dict.fromkeys(NUMBERS, 0.0) | {"n_chars": len(text or ""), "n_words": 0, "n_lines": 0, "kind": None}
     if not text or text.isspace():
         return out
-    words = _WORD.findall(text)
-    folded = _WORD.findall(text.lower())
+    words = _WORD.findall(text.lower())
     lines = [x for x in map(str.strip, _BREAK.split(text)) if x]
-    solid = _SPACE.sub("", text)
-    n_solid, n_words = len(solid), len(words)
+    n_solid, n_words = sum(map(len, text.split())), len(words)
     chinese = 0 if text.isascii() else len(_ZH.findall(text))
     out["n_words"], out["n_lines"] = n_words, len(lines)
     letters = sum(map(len, words))
@@ -141,13 +139,13 @@ def describe(text: str | None) -> dict:
     if paragraphs:
         out["dup_paragraph_share"] = 1 - len(set(paragraphs)) / len(paragraphs)
     if n_words:
-        counts = Counter(folded)
+        counts = Counter(words)
         out["mean_word_length"] = letters / n_words
-        out["common_word_share"] = sum(n for w, n in counts.items() if w in COMMON) / n_words
+        out["common_word_share"] = sum(counts[w] for w in COMMON & counts.keys()) / n_words
         out["distinct_word_share"] = len(counts) / n_words
         for size, name in ((2, "top_2gram_share"), (3, "top_3gram_share"), (4, "top_4gram_share")):
             if n_words >= size:
-                gram, n = Counter(zip(*(folded[k:] for k in range(size)))).most_common(1)[0]
+                gram, n = Counter(zip(*(words[k:] for k in range(size)))).most_common(1)[0]
                 out[name] = min(1.0, n * sum(map(len, gram)) / max(letters, 1)) if n > 1 else 0.0
         distinct = len(counts)
     else:
