@@ -63,6 +63,11 @@ def _work_dir(spark: SparkSession) -> str:
     return work
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder; it goes when the application ends."""
+    return f"{_work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it back.
 
@@ -70,7 +75,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     It is removed when the application ends.
     """
     spark = df.sparkSession
-    path = f"{_work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = work_path(spark, name)
     df.write.mode("error").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
