@@ -122,8 +122,18 @@ def _pack(text: str, span: Span, limit: int, first: int, depth: int, blocks: lis
             marks.append(at)
             at += limit
         return _cuts(a, b, marks)
-    packed = [s for part in parts for s in _pack(text, part, limit, first, depth, blocks)]
-    return _merged(packed, limit, first)
+    if depth > 2:
+        return _merged([s for part in parts for s in _pack(text, part, limit, first, depth, blocks)], limit, first)
+    out: list[Span] = []
+    whole: list[Span] = []  # sections that fit are merged with each other, not with what an oversized one left
+    for part in parts:
+        pieces = _pack(text, part, limit, first, depth, blocks)
+        if len(pieces) == 1:
+            whole += pieces
+        else:
+            out += _merged(whole, limit, first) + pieces
+            whole = []
+    return out + _merged(whole, limit, first)
 
 
 def cut(text: str, max_chars: int, overlap: int, blocks: list[int] | None = None) -> list[tuple[int, int, int]]:
