@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import connected_components
+from pagemill.llm.narrow import narrowed
 from pagemill.llm.words import Batch, mix
 from pagemill.session import materialize, ship
 
@@ -124,9 +125,10 @@ def exact_overlaps(pairs: DataFrame, members: DataFrame, pages: DataFrame, id_co
     One page stands for each key; only the texts that some pair needs are read into sets.
     """
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    stand = members.join(needed, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+    stand = materialize(members.join(needed, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")), "stand-ins")
     texts = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    sets = materialize(shingle_sets(texts.join(stand, "id"), width).dropDuplicates(["key"]), "shingle-sets")
+    wanted = narrowed(texts, "id", stand, "id").join(stand, "id")  # of the texts, only those wanted are shuffled
+    sets = materialize(shingle_sets(wanted, width).dropDuplicates(["key"]), "shingle-sets")
     a = sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
     b = sets.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", F.size("grams_a").alias("n_a"), F.size("grams_b").alias("n_b"), F.size(F.array_intersect("grams_a", "grams_b")).alias("n_both"))
