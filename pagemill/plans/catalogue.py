@@ -15,6 +15,7 @@ from pagemill.operators import blocks as B
 from pagemill.operators import dedup as D
 from pagemill.operators import paging as P
 from pagemill.operators import qc as Q
+from pagemill.operators import render as G
 from pagemill.operators import schedule as C
 from pagemill.operators import sequences as S
 from pagemill.operators import vocab as V
@@ -90,6 +91,20 @@ def global_index(spark, d):
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("corpus").orderBy("key")) - 1)
 
 
+@query
+def nested_fields(spark, d):
+    """The first filled one of a dotted path and plain fields, whatever its type."""
+    rows = R.parsed(table(spark, d, "raw_records"))
+    return rows.select("source_file", "line_no", R.nested_field(F.col("record"), "document.text", "text", "content").alias("value"))
+
+
+@query
+def manifest_scan(spark, d):
+    """One of four shards of an epoch's seeded order, at most fifty samples, as a worker of a training run reads it."""
+    rows = docs(spark, d).where(F.length("text") > 0).select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":1:42")), 256).alias("place"))
+    return rows.where(D.shard_of(X.hash_uniform(F.col("doc_id").cast("string"), "shard"), 4) == 1).orderBy("place").limit(50)
+
+
 # -- text --------------------------------------------------------------------------------------------------------
 
 
@@ -242,6 +257,19 @@ def shard_round_robin(spark, d):
     return docs(spark, d).select("doc_id", D.shard_of(place, 4).alias("shard")).groupBy("shard").agg(F.count("*").alias("n"))
 
 
+@query
+def contiguous_chunks(spark, d):
+    """The documents in order of their ids as four chunks of nearly equal size."""
+    part = docs(spark, d).select("doc_id", F.ntile(4).over(Window.orderBy("doc_id")).alias("chunk"))
+    return part.groupBy("chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+@query
+def preview_sample(spark, d):
+    """A reproducible tenth of the pages, by a hash of the id."""
+    return pages(spark, d).where(X.hash_uniform(F.col("id"), "preview") < int(0.1 * (1 << 60))).select("id").distinct()
+
+
 @query
 def shard_roll(spark, d):
     lines = docs(spark, d).where("text is not null").select(D.split_of(F.col("doc_id").cast("string"), 0.08, 0.08).alias("split"), "doc_id", "text")
@@ -329,6 +357,26 @@ def page_markup(spark, d):
     return pages(spark, d).where("blocks is not null").select("id", F.sha1(F.array_join(F.transform("blocks", P.block_html), "\n").cast("binary")).alias("digest"), F.array_join(F.transform("blocks", P.block_html), "\n").alias("html")).distinct()
 
 
+@query
+def page_documents(spark, d):
+    """Whole HTML pages for a renderer: their digests."""
+    html = P.page_html(F.col("blocks"), 1024, 512)
+    return pages(spark, d).where("blocks is not null").select("id", F.length(html).alias("n"), html.startswith("<!DOCTYPE html>").alias("whole")).distinct()
+
+
+@query
+def render_plan(spark, d):
+    """Canvas or reject reason of each page, by the deterministic estimator behind the renderer's interface."""
+    return G.planned(pages(spark, d).select("id", "blocks").dropDuplicates(["id"]))
+
+
+@query
+def image_chat_rows(spark, d):
+    """Pages as chat rows for image training."""
+    rows = K.image_chat(pages(spark, d).where("target_text <> ''").select("id", "target_text").distinct())
+    return rows.select(F.get("images", 0).alias("image"), F.get("messages", 0)["content"].alias("prompt"), F.get("messages", 1)["content"].alias("answer"))
+
+
 @query
 def compact_json(spark, d):
     """Pages as compact records in JSON lines, read back."""

@@ -232,6 +232,14 @@ ISSUES = f"""list_filter([CASE WHEN coalesce(id, '') = '' THEN 'missing id' END,
  CASE WHEN length(t) > 0 AND {_n(chr(92) + '[')} <> {_n(chr(92) + ']')} THEN 'latex_bracket_mismatch: ' || {_n(chr(92) + '[')} || ' vs ' || {_n(chr(92) + ']')} END], lambda i: i IS NOT NULL)"""
 
 SQL: dict[str, str] = {
+    "nested_fields": f"""WITH {LINES}, good AS (SELECT source_file, line_no, line::JSON AS j FROM lines WHERE json_valid(line)),
+        v AS (SELECT *, [json_extract(j, '$.document.text') ->> '$', json_extract(j, '$.text') ->> '$', json_extract(j, '$.content') ->> '$'] AS vs FROM good)
+        SELECT source_file, line_no, list_filter(vs, lambda x: x IS NOT NULL AND {strip('x')} <> '')[1] AS value FROM v""",
+    "manifest_scan": f"SELECT doc_id, sha256(doc_id || ':1:42') AS place FROM documents WHERE length(text) > 0 AND {u60('doc_id', 'shard')} % 4 = 1 ORDER BY place LIMIT 50",
+    "contiguous_chunks": 'SELECT chunk::INTEGER AS chunk, count(*) AS n, min(doc_id) AS "first", max(doc_id) AS "last" FROM (SELECT doc_id, ntile(4) OVER (ORDER BY doc_id) AS chunk FROM documents) GROUP BY 1',
+    "preview_sample": f"SELECT id FROM {DISTINCT_PAGES} WHERE {u60('id', 'preview')} < {int(0.1 * (1 << 60))}",
+    "image_chat_rows": f"""SELECT 'images/' || {sub('id', r'[^\p{L}\p{N}\-_.]', '_')} || '.png' AS image, '<image>' || chr(10) || 'Read the text in the image.' AS prompt, target_text AS answer
+        FROM (SELECT DISTINCT id, target_text FROM page_records WHERE target_text <> '')""",
     "raw_scan_skip": f"WITH {LINES} SELECT source_file, count(*) AS n FROM lines WHERE json_valid(line) GROUP BY source_file",
     "raw_scan_rejects": f"WITH {LINES} SELECT CASE WHEN {BAD_JSON} THEN 'malformed' ELSE 'ok' END AS reason, count(*) AS n FROM lines GROUP BY 1",
     "raw_scan_fail_file": f"""WITH {LINES}, bad AS (SELECT source_file, min(line_no) AS b FROM lines WHERE {BAD_JSON} GROUP BY 1)
