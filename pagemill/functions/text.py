@@ -122,12 +122,12 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, rf"\n[{SPACES}]*\n", -1), strip), lambda p: p != "")
 
 
-def split_long(c: Column, max_chars: int = 420) -> Column:
+def split_long(c: Column, max_chars: int = 420, stripped: bool = False) -> Column:
     """Chunks of at most ``max_chars``: sentences joined by a blank as far as they fit; a longer sentence is sliced.
 
     A text within the limit is one chunk, an empty one none.
     """
-    text = strip(c)
+    text = c if stripped else strip(c)
     size = F.lit(max_chars)
 
     def step(state: Column, sentence: Column) -> Column:
@@ -143,7 +143,7 @@ def split_long(c: Column, max_chars: int = 420) -> Column:
 
 
 def paragraph_chunks(c: Column, max_chars: int = 420) -> Column:
-    return F.flatten(F.transform(paragraphs(c), lambda p: split_long(p, max_chars)))
+    return F.flatten(F.transform(paragraphs(c), lambda p: split_long(p, max_chars, stripped=True)))
 
 
 def safe_boundaries(c: Column) -> Column:

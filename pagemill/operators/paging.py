@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
-from pagemill.operators.blocks import parse_column
+from pagemill.operators.blocks import parse
+from pagemill.schemas import BLOCK
+from pagemill.session import ship
 
 
 def part_target(p: Column) -> Column:
@@ -64,9 +69,19 @@ def block_flags(blocks: Column) -> Column:
 
 
 def document_blocks(docs: DataFrame, limit: int = 420, structured_html: bool = True) -> DataFrame:
-    """doc_id, subject, blocks of (doc_id, subject, text)."""
-    prepared = X.normalize(F.col("text"), collapse=False)
-    return docs.select("doc_id", "subject", parse_column(prepared, limit, structured_html).alias("blocks"))
+    """doc_id, subject, blocks of (doc_id, subject, text); the blocks of a null or empty text are an empty array."""
+    ship(docs.sparkSession)
+    prepared = docs.select("doc_id", "subject", X.normalize(F.col("text"), collapse=False).alias("text"))
+    schema = f"doc_id {prepared.schema['doc_id'].dataType.simpleString()}, subject string, blocks array<{BLOCK}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.struct([(n, pa.string()) for n in ("kind", "text", "tex", "target")])
+        block = pa.struct([("id", pa.string()), ("kind", pa.string()), ("parts", pa.list_(part)), ("tex", pa.string()), ("rows", pa.list_(pa.list_(pa.string()))), ("target", pa.string())])
+        for batch in batches:
+            blocks = [parse(t, limit, structured_html) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, pa.list_(block))], names=["doc_id", "subject", "blocks"])
+
+    return prepared.mapInArrow(run, schema)
 
 
 def document_pages(docs: DataFrame, budget: int = 950, limit: int = 420, structured_html: bool = True) -> DataFrame:
@@ -75,7 +90,7 @@ def document_pages(docs: DataFrame, budget: int = 950, limit: int = 420, structu
     A page's index counts the pages left out, too; the subject of a page is never null.
     """
     parsed = document_blocks(docs, limit, structured_html)
-    numbered = parsed.withColumn("page", page_numbers(F.transform("blocks", block_cost), budget)).where(F.size("blocks") > 0)
+    numbered = parsed.withColumn("page", page_numbers(F.transform("blocks", block_cost), budget))
     pages = numbered.select("doc_id", "subject", "blocks", "page", F.explode(F.array_distinct("page")).alias("page_index"))
     pages = pages.withColumn("blocks", F.expr("transform(filter(arrays_zip(blocks, page), x -> x.page = page_index), x -> x.blocks)"))
     records = pages.select(
@@ -97,7 +112,7 @@ def compact(pages: DataFrame) -> DataFrame:
 def plain_pages(docs: DataFrame, budget: int = 950, limit: int = 420) -> DataFrame:
     """Compact pages of plain text (no formulas, tables or tags are looked for): all of it in Spark's own functions."""
     chunked = docs.select("doc_id", "subject", X.paragraph_chunks(X.normalize(F.col("text"), collapse=False), limit).alias("chunks"))
-    numbered = chunked.withColumn("page", page_numbers(F.transform("chunks", lambda c: F.greatest(F.lit(1), F.length(c))), budget)).where(F.size("chunks") > 0)
+    numbered = chunked.withColumn("page", page_numbers(F.transform("chunks", lambda c: F.greatest(F.lit(1), F.length(c))), budget))  # no filter: it would be pushed down and fold twice
     pages = numbered.select("*", F.explode(F.array_distinct("page")).alias("page_index"))
     text = X.strip(F.expr("array_join(transform(filter(arrays_zip(chunks, page), x -> x.page = page_index), x -> x.chunks), '\n')"))
     out = pages.select(F.format_string("%s-p%05d", F.col("doc_id").cast("string"), "page_index").alias("i"), text.alias("t"), F.coalesce("subject", F.lit("")).alias("s"))

@@ -20,7 +20,7 @@ from pagemill.operators import schedule as C
 from pagemill.operators import sequences as S
 from pagemill.operators import vocab as V
 from pagemill.plans.oracle import SQL  # noqa: F401  (the driver asks for both here)
-from pagemill.session import ship, table, work_path
+from pagemill.session import ship, spread, table, work_path
 from pagemill.sources import records as R
 from pagemill.sources import sinks as K
 from pagemill.streaming import ingest as I
@@ -38,11 +38,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "page_records")
+    return spread(table(spark, d, "page_records"))
 
 
 def _tidy(spark: SparkSession, d: str) -> DataFrame:
@@ -541,9 +541,8 @@ def char_tokenize(spark, d):
 def char_round_trip(spark, d):
     """Encoded and decoded with the extended vocabulary: nothing is lost."""
     found = V.extended(_vocabulary(spark, d), V.characters(docs(spark, d)))
-    tokens = spark.createDataFrame([({i: t for t, i in V.as_map(found).items()},)], "tokens map<int,string>")
     coded = V.encode_rows(docs(spark, d).where("text is not null"), found, "doc_id", "text")
-    return coded.crossJoin(F.broadcast(tokens)).select("doc_id", V.decode(F.col("ids"), F.col("tokens")).alias("text"))
+    return V.decode_rows(coded, found, "doc_id", "ids").withColumnRenamed("decoded", "text")
 
 
 # -- layout ------------------------------------------------------------------------------------------------------

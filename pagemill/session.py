@@ -106,3 +106,13 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in far fewer partitions than there are, as from one small file; else itself.
+
+    Work that no shuffle precedes would otherwise run in one task. Large inputs have enough partitions by their size.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if parts * 2 <= cores else df
