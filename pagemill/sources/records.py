@@ -24,13 +24,25 @@ def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None
     return reader.text(paths).select(F.col("_metadata.file_path").alias("source_file"), F.make_valid_utf8("value").alias("value"))
 
 
+def strict_json(c: Column) -> Column:
+    """The one JSON value of a string as a variant; null if it is malformed or anything follows the value.
+
+    Spark's parser stops at the end of the first value, so the string is parsed inside a list and inside an object:
+    what follows a value cannot close both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    alone = inside.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def parsed(lines: DataFrame, line: str = "line", policy: str = "skip", file: str = "source_file", order: str = "line_no") -> DataFrame:
     """Lines with ``record`` (variant) and ``reject_reason``; blank lines are left out.
 
     The policy says what a malformed line does: ``skip`` drops it, ``count`` keeps it with its reason, ``fail_file``
     drops it and the rest of its file.
     """
-    rows = lines.where(strip(F.col(line)) != "").withColumn("record", F.try_parse_json(line))
+    rows = lines.where(strip(F.col(line)) != "").withColumn("record", strict_json(F.col(line)))
     rows = rows.withColumn("reject_reason", F.when(F.col("record").isNull(), "malformed"))
     if policy == "count":
         return rows

@@ -126,6 +126,14 @@ def test_policies(spark):
         n("other")
 
 
+def test_one_value_and_nothing_after_it(spark):
+    good = ['{"a": 1}', " [1, 2] ", '"x"', "null", "3"]
+    bad = ['{"a": 1},', '{"a": 1} x', "{} {}", "{}, {}", "1],[2", '1},{"v":2', "", "{", "tru"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(good + bad)], "k int, t string")
+    got = [r[0] for r in df.orderBy("k").select(R.strict_json(F.col("t")).isNotNull()).collect()]
+    assert got == [True] * len(good) + [False] * len(bad)
+
+
 def test_files(spark, tmp_path):
     import gzip
     import json
