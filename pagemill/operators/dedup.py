@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import hash_uniform
+from pagemill.operators.positions import with_group_position
 
 
 def with_digest(df: DataFrame, text: str = "text", out: str = "sha1") -> DataFrame:
@@ -41,20 +42,19 @@ def shard_of(position: Column, shards: int) -> Column:
     return F.pmod(position, F.lit(shards))
 
 
-def rolled_shards(df: DataFrame, line: str, order: str, most_bytes: int, group: str = "split", lanes: int = 1) -> DataFrame:
+def rolled_shards(df: DataFrame, line: str, order: str, most_bytes: int, group: str = "split", lane_rows: int = 1 << 20) -> DataFrame:
     """The shard of each line: a new one starts when the next line would exceed ``most_bytes`` (a longer line stands alone).
 
-    Greedy rolling is a running fold, so each group is folded in ``lanes`` independent ranges of a hash of the order
-    column, each with shards of its own; one lane gives the plain sequence. Only sizes and keys are folded, in
-    Arrow batches; the lines themselves do not move to Python.
+    Rolling is a running fold, so it goes along lanes: every ``lane_rows`` lines in a group's order are one lane with
+    shards of its own, and a task folds one lane. Only sizes and keys are folded; the lines do not move to Python.
     """
-    lane = F.pmod(F.xxhash64(order), F.lit(lanes)).cast("int")
-    sized = df.select(group, lane.alias("lane"), F.col(order).alias("k"), F.octet_length(line).alias("bytes"))
+    sized = df.select(group, F.col(order).alias("k"), F.coalesce(F.octet_length(line), F.lit(0)).alias("bytes"))
+    placed = with_group_position(sized, [group], ["k"]).withColumn("lane", F.floor(F.col("pos") / lane_rows).cast("int"))
 
     def roll(pdf):
-        pdf = pdf.sort_values("k", kind="stable")
+        pdf = pdf.sort_values("pos", kind="stable")
         shard, used, out = 0, 0, []
-        for n in pdf["bytes"].fillna(0).astype("int64"):
+        for n in pdf["bytes"]:
             if used and used + n > most_bytes:
                 shard, used = shard + 1, 0
             used += n
@@ -62,7 +62,7 @@ def rolled_shards(df: DataFrame, line: str, order: str, most_bytes: int, group:
         return pdf.assign(shard=out)[[group, "lane", "k", "bytes", "shard"]]
 
     kinds = dict(sized.dtypes)
-    return sized.groupBy(group, "lane").applyInPandas(roll, f"{group} {kinds[group]}, lane int, k {kinds['k']}, bytes int, shard int")
+    return placed.groupBy(group, "lane").applyInPandas(roll, f"{group} {kinds[group]}, lane int, k {kinds['k']}, bytes int, shard int")
 
 
 def interleave(main: DataFrame, other: DataFrame, ratio: float, key: str, seed: int = 7) -> DataFrame:
@@ -88,17 +88,15 @@ def shuffled(df: DataFrame, key: str, epoch: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), key)
 
 
-def bucket_batches(df: DataFrame, batch_size: int, key: str, buckets: tuple[str, str] = ("grid_h", "grid_w"), drop_last: bool = False, seed: int = 42, salts: int = 1) -> DataFrame:
+def bucket_batches(df: DataFrame, batch_size: int, key: str, buckets: tuple[str, str] = ("grid_h", "grid_w"), drop_last: bool = False, seed: int = 42) -> DataFrame:
     """Batches of equal grids: rows of a bucket in hash order, cut into batches; rows without a grid are left out.
 
-    ``salts`` splits every bucket into independent sequences, so that a bucket of a third of all rows is not
-    numbered in one task; each sequence may end in a short batch.
+    Positions come from one sort of the whole table, so a bucket of a third of all rows is no task of its own.
     """
     grid = list(buckets)
-    rows = df.where(F.col(grid[0]).isNotNull() & F.col(grid[1]).isNotNull()).withColumn("salt", F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(salts)).cast("int"))
-    place = Window.partitionBy(*grid, "salt").orderBy(F.sha2(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")), 256), key)
-    rows = rows.withColumn("batch", F.floor((F.row_number().over(place) - 1) / batch_size).cast("int"))
+    rows = df.where(F.col(grid[0]).isNotNull() & F.col(grid[1]).isNotNull()).withColumn("__h", F.sha2(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")), 256))
+    placed = with_group_position(rows, grid, ["__h", key])
+    batch = F.floor(F.col("pos") / batch_size)
     if drop_last:
-        full = rows.groupBy(*grid, "salt", "batch").count().where(F.col("count") == batch_size).drop("count")
-        rows = rows.join(full, [*grid, "salt", "batch"], "left_semi")
-    return rows
+        placed = placed.where((batch + 1) * batch_size <= F.col("pos_of"))
+    return placed.withColumn("batch", batch.cast("int")).drop("__h", "pos", "pos_of")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import count_of
+from pagemill.operators.positions import with_group_position
 
 
 def issues(key: Column, text: Column) -> Column:
@@ -45,18 +46,26 @@ def top_issues(df: DataFrame, key: str, text: str, k: int = 20) -> DataFrame:
     return each.groupBy("issue").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "issue").limit(k)
 
 
+def _ranked(df: DataFrame, group: str, value: str) -> DataFrame:
+    return with_group_position(df.where(F.col(value).isNotNull()).select(group, value), [group], [value])
+
+
 def percentiles(df: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Linear interpolation at (n - 1) p; all values of a group are counted before they meet."""
-    return df.groupBy(group).agg(*[F.percentile(value, F.lit(p)).alias(f"p{int(p * 100)}") for p in shares], F.avg(value).alias("mean"), F.max(value).alias("most"))
+    """Exact, with linear interpolation at (n - 1) p, from positions: no group is gathered, only the values beside the ranks."""
+    last = F.col("pos_of") - 1
+    out = []
+    for p in shares:
+        at = last * F.lit(p)
+        low = F.floor(at)
+        near = F.when(F.col("pos") == low, F.col(value) * (1 - (at - low))).when(F.col("pos") == low + 1, F.col(value) * (at - low))
+        out.append(F.sum(near).alias(f"p{int(p * 100)}"))
+    return _ranked(df, group, value).groupBy(group).agg(*out, F.avg(value).alias("mean"), F.max(value).alias("most"))
 
 
 def floor_percentile(df: DataFrame, group: str, value: str, share: float = 0.95) -> DataFrame:
-    """The value at index floor(share * n), clamped, without gathering a group: values are counted, then ranked."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(group).orderBy(value))
-    total = F.sum("n").over(Window.partitionBy(group))
-    at = F.least(F.floor(total * share), total - 1)
-    return counts.select(group, value, upto.alias("upto"), at.alias("at")).where("upto > at").groupBy(group).agg(F.min(value).alias("p_floor"))
+    """The value at index floor(share * n), clamped to the last; from positions, too."""
+    at = F.least(F.floor(F.col("pos_of") * F.lit(share)), F.col("pos_of") - 1)
+    return _ranked(df, group, value).where(F.col("pos") == at).select(group, F.col(value).alias("p_floor"))
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:

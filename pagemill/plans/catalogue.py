@@ -14,6 +14,7 @@ from pagemill.functions import udfs
 from pagemill.operators import blocks as B
 from pagemill.operators import dedup as D
 from pagemill.operators import paging as P
+from pagemill.operators import positions as N
 from pagemill.operators import qc as Q
 from pagemill.operators import render as G
 from pagemill.operators import schedule as C
@@ -86,9 +87,9 @@ def random_access(spark, d):
 
 @query
 def global_index(spark, d):
-    """Two corpora as one with consecutive positions; positions come from a sort, counted per range."""
+    """Two corpora with consecutive positions in each."""
     both = docs(spark, d).select(F.lit("documents").alias("corpus"), F.col("doc_id").cast("string").alias("key")).union(pages(spark, d).select(F.lit("page_records"), "id").distinct())
-    return both.withColumn("pos", F.row_number().over(Window.partitionBy("corpus").orderBy("key")) - 1)
+    return N.with_group_position(both, ["corpus"], ["key"]).select("corpus", "key", F.col("pos").cast("int").alias("pos"))
 
 
 @query
@@ -233,8 +234,8 @@ def split_counts(spark, d):
 @query
 def repackage_counts(spark, d):
     """Normalise, keep first copies, flag and split: what the repackaging of a corpus counts."""
-    first = D.first_copies(_tidy(spark, d).select("doc_id", "text", "sha1"), ["doc_id"])
-    rows = first.select(D.split_of(F.col("doc_id").cast("string"), 0.08, 0.08).alias("split"), X.text_flags(F.col("text")).alias("flags"), F.length("text").alias("n"))
+    flagged = _tidy(spark, d).select("doc_id", "sha1", X.text_flags(F.col("text")).alias("flags"), F.length("text").alias("n"))  # the texts are not shuffled
+    rows = D.first_copies(flagged, ["doc_id"]).withColumn("split", D.split_of(F.col("doc_id").cast("string"), 0.08, 0.08))
     return rows.groupBy("split").agg(
         F.count("*").alias("n_pages"), F.sum("n").alias("chars"), F.count_if(F.col("flags").bitwiseAND(1) > 0).alias("math"), F.count_if(F.col("flags").bitwiseAND(2) > 0).alias("tables"), F.count_if(F.col("flags").bitwiseAND(4) > 0).alias("html")
     )
@@ -253,14 +254,16 @@ def ingest_counters(spark, d):
 @query
 def shard_round_robin(spark, d):
     """The k-th document by id goes to shard k mod 4."""
-    place = F.row_number().over(Window.orderBy("doc_id")) - 1
-    return docs(spark, d).select("doc_id", D.shard_of(place, 4).alias("shard")).groupBy("shard").agg(F.count("*").alias("n"))
+    placed = N.with_position(docs(spark, d).select("doc_id"), ["doc_id"])
+    return placed.groupBy(D.shard_of(F.col("pos"), 4).cast("int").alias("shard")).agg(F.count("*").alias("n"))
 
 
 @query
 def contiguous_chunks(spark, d):
     """The documents in order of their ids as four chunks of nearly equal size."""
-    part = docs(spark, d).select("doc_id", F.ntile(4).over(Window.orderBy("doc_id")).alias("chunk"))
+    placed = N.with_position(docs(spark, d).select("doc_id"), ["doc_id"])
+    total = placed.agg(F.count("*").alias("total"))
+    part = placed.crossJoin(F.broadcast(total)).select("doc_id", N.chunk_of(F.col("pos"), F.col("total"), 4).alias("chunk"))  # one row
     return part.groupBy("chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
@@ -464,7 +467,7 @@ def vision_alignment(spark, d):
 @query
 def pad_batch_stats(spark, d):
     """Batches of eight by spec_id: the longest row, padded cells and learned labels of each."""
-    rows = _sequences(spark, d).withColumn("batch", F.floor((F.row_number().over(Window.orderBy("spec_id")) - 1) / 8).cast("int"))
+    rows = N.with_position(_sequences(spark, d), ["spec_id"]).withColumn("batch", F.floor(F.col("pos") / 8).cast("int"))
     padded = S.pad_batches(rows)
     return padded.groupBy("batch").agg(
         F.max(F.size("input_ids")).alias("max_len"), F.sum(F.size("input_ids") - F.size("ids")).alias("padding"), F.sum(F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n_tokens"), F.sum(S.label_count(F.col("padded_labels"))).alias("n_labels")

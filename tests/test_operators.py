@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import layout as L
 from pagemill.operators import dedup as D
+from pagemill.operators import positions as N
 from pagemill.operators import qc as Q
 from pagemill.operators import schedule as C
 from pagemill.operators import vocab as V
@@ -34,15 +35,30 @@ def test_rolled_shards(spark):
     df = spark.createDataFrame([("train", k, "x" * n) for k, n in enumerate([5, 5, 5, 30, 1, 9, 2])], "split string, k int, line string")
     got = [r.shard for r in D.rolled_shards(df, "line", "k", 10).orderBy("k").collect()]
     assert got == [0, 0, 1, 2, 3, 3, 4]
-    lanes = D.rolled_shards(df, "line", "k", 10, lanes=3).collect()
-    assert len(lanes) == 7 and len({r.lane for r in lanes}) > 1
+    lanes = D.rolled_shards(df, "line", "k", 10, lane_rows=3).orderBy("k").collect()
+    assert [(r.lane, r.shard) for r in lanes] == [(0, 0), (0, 0), (0, 1), (1, 0), (1, 1), (1, 1), (2, 0)]
+
+
+def test_positions(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.randrange(1000), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, k int").repartition(6)
+    got = {r.k: r.pos for r in N.with_position(df, ["v", "k"]).collect()}
+    assert got == {k: p for p, (_, _, k) in enumerate(sorted(rows, key=lambda r: r[1:]))}
+    placed = N.with_group_position(df, ["g"], ["v", "k"]).collect()
+    for g in ("a", "b", None):
+        own = sorted(r[1:] for r in rows if r[0] == g)
+        assert [(r.v, r.k) for r in sorted((r for r in placed if r.g == g), key=lambda r: r.pos)] == own and {r.pos_of for r in placed if r.g == g} == {len(own)}
+    assert N.with_position(df.where("false"), ["v"]).count() == 0 and N.with_group_position(df.where("false"), ["g"], ["v"]).count() == 0
+    for n in (3, 8, 10):
+        sizes = spark.range(n).select(N.chunk_of(F.col("id"), F.lit(n), 4).alias("c")).groupBy("c").count().orderBy("c").collect()
+        assert [r["count"] for r in sizes] == [n // 4 + (k < n % 4) for k in range(4) if n // 4 + (k < n % 4)]
 
 
 def test_batches(spark):
     df = spark.createDataFrame([(k, k % 2 or None, 3) for k in range(21)], "k int, grid_h int, grid_w int")
-    sizes = lambda d: sorted(r["count"] for r in d.groupBy("grid_h", "salt", "batch").count().collect())
+    sizes = lambda d: sorted(r["count"] for r in d.groupBy("grid_h", "batch").count().collect())
     assert sizes(D.bucket_batches(df, 4, "k")) == [2, 4, 4] and sizes(D.bucket_batches(df, 4, "k", drop_last=True)) == [4, 4]
-    assert D.bucket_batches(df, 4, "k", salts=3).count() == 10
 
 
 def test_interleave_keeps_all(spark):
