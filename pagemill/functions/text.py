@@ -10,7 +10,7 @@ from pagemill.functions.udfs import html_unescape, nfc
 #: Every white space of Unicode, for a regex class; Java's \\s is ASCII only.
 SPACES = r"\s\x0B\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
-# Patterns that decide the same questions as in the reference data.
+# Patterns that must decide as the corpus' earlier tools did.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 TAG = r"</?[A-Za-z][^>]*>"
 ANY_TAG = r"<[^>]+>"

@@ -22,7 +22,10 @@ def first_copies(df: DataFrame, order: list[str], digest: str = "sha1", seen: Da
     others = [c for c in df.columns if c != digest]
     rank = F.struct(*[F.col(c) for c in order])
     row = F.struct(*[F.col(c) for c in others])
-    kept = df.groupBy(digest).agg(F.min_by(row, rank).alias("__row")).select(digest, "__row.*").select(*df.columns)
+    if others == order and len(order) == 1:
+        kept = df.groupBy(digest).agg(F.min(order[0]).alias(order[0])).select(*df.columns)
+    else:
+        kept = df.groupBy(digest).agg(F.min_by(row, rank).alias("__row")).select(digest, "__row.*").select(*df.columns)
     return kept if seen is None else kept.join(seen.select(digest), digest, "left_anti")
 
 

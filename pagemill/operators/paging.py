@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as X
 from pagemill.operators.blocks import parse
 from pagemill.schemas import BLOCK
-from pagemill.session import ship
+from pagemill.session import once, ship
 
 
 def part_target(p: Column) -> Column:
@@ -93,16 +93,17 @@ def document_pages(docs: DataFrame, budget: int = 950, limit: int = 420, structu
     numbered = parsed.withColumn("page", page_numbers(F.transform("blocks", block_cost), budget))
     pages = numbered.select("doc_id", "subject", "blocks", "page", F.explode(F.array_distinct("page")).alias("page_index"))
     pages = pages.withColumn("blocks", F.expr("transform(filter(arrays_zip(blocks, page), x -> x.page = page_index), x -> x.blocks)"))
-    records = pages.select(
+    records = once(pages, "target_text", join_targets(F.col("blocks"))).where("target_text <> ''")
+    records = records.select(
         F.format_string("%s-p%05d", F.col("doc_id").cast("string"), "page_index").alias("id"),
         F.col("doc_id").cast("string").alias("doc_id"),
         "page_index",
         F.coalesce("subject", F.lit("")).alias("subject"),
         "blocks",
-        join_targets(F.col("blocks")).alias("target_text"),
+        "target_text",
         block_flags(F.col("blocks")).alias("flags"),
     )
-    return records.where("target_text <> ''").select("id", "doc_id", "page_index", "subject", "blocks", "target_text", (F.col("flags").bitwiseAND(1) > 0).alias("has_math"), (F.col("flags").bitwiseAND(2) > 0).alias("has_table"), "flags")
+    return records.select("id", "doc_id", "page_index", "subject", "blocks", "target_text", (F.col("flags").bitwiseAND(1) > 0).alias("has_math"), (F.col("flags").bitwiseAND(2) > 0).alias("has_table"), "flags")
 
 
 def compact(pages: DataFrame) -> DataFrame:
@@ -115,8 +116,8 @@ def plain_pages(docs: DataFrame, budget: int = 950, limit: int = 420) -> DataFra
     numbered = chunked.withColumn("page", page_numbers(F.transform("chunks", lambda c: F.greatest(F.lit(1), F.length(c))), budget))  # no filter: it would be pushed down and fold twice
     pages = numbered.select("*", F.explode(F.array_distinct("page")).alias("page_index"))
     text = X.strip(F.expr("array_join(transform(filter(arrays_zip(chunks, page), x -> x.page = page_index), x -> x.chunks), '\n')"))
-    out = pages.select(F.format_string("%s-p%05d", F.col("doc_id").cast("string"), "page_index").alias("i"), text.alias("t"), F.coalesce("subject", F.lit("")).alias("s"))
-    return out.where("t <> ''").withColumn("f", X.text_flags(F.col("t")))
+    out = once(pages, "t", text).where("t <> ''")
+    return out.select(F.format_string("%s-p%05d", F.col("doc_id").cast("string"), "page_index").alias("i"), "t", F.coalesce("subject", F.lit("")).alias("s"), X.text_flags(F.col("t")).alias("f"))
 
 
 def block_html(b: Column) -> Column:

@@ -21,7 +21,7 @@ from pagemill.operators import schedule as C
 from pagemill.operators import sequences as S
 from pagemill.operators import vocab as V
 from pagemill.plans.oracle import SQL  # noqa: F401  (the driver asks for both here)
-from pagemill.session import ship, spread, table, work_path
+from pagemill.session import once, ship, spread, table, work_path
 from pagemill.sources import records as R
 from pagemill.sources import sinks as K
 from pagemill.streaming import ingest as I
@@ -48,7 +48,8 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 def _tidy(spark: SparkSession, d: str) -> DataFrame:
     """Documents with normalised text (without NFC, as plain SQL can repeat it) and its digest."""
-    return D.with_digest(docs(spark, d).select("doc_id", "source", "subject", X.normalize(F.col("text"), composed=False).alias("text")).where("text <> ''"))
+    rows = docs(spark, d).select("doc_id", "added_at", "text")
+    return D.with_digest(once(rows, "text", X.normalize(F.col("text"), composed=False)).where("text <> ''"))
 
 
 # -- sources and fields ------------------------------------------------------------------------------------------
@@ -214,7 +215,7 @@ def dedup_counts(spark, d):
 @query
 def dedup_incremental(spark, d):
     """Documents of the second half of 2025 whose text was not there in the first."""
-    tidy = D.with_digest(docs(spark, d).select("doc_id", "added_at", X.normalize(F.col("text"), composed=False).alias("text")).where("text <> ''"))
+    tidy = _tidy(spark, d)
     old, new = tidy.where("added_at < '2025-07-01'"), tidy.where("added_at >= '2025-07-01'")
     return D.first_copies(new.select("doc_id", "sha1"), ["doc_id"], seen=old.select("sha1").distinct())
 

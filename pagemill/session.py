@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str = "8g", app: str = "pagemill") -> SparkSession:
@@ -80,12 +81,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Deletes the table behind a frame that ``materialize`` returned and that nothing reads any more."""
-    sc = df.sparkSession.sparkContext
-    for file in df.inputFiles():
-        path = sc._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, False)
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application has materialized so far; frames that read them cannot be read again."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -114,5 +114,13 @@ def spread(df: DataFrame) -> DataFrame:
     Work that no shuffle precedes would otherwise run in one task. Large inputs have enough partitions by their size.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()  # plans, but runs nothing
     return df.repartition(cores) if parts * 2 <= cores else df
+
+
+def once(df: DataFrame, name: str, column) -> DataFrame:
+    """``df`` with a column that is computed once for each row, even where later filters and columns use it often.
+
+    A filter on a plain column would be pushed down with a copy of its expression; it is not pushed through a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(column)))

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from pagemill.operators import positions as N
 from pagemill.operators import qc as Q
 from pagemill.operators import schedule as C
 from pagemill.operators import vocab as V
-from pagemill.session import materialize
+from pagemill.session import materialize, release
 from pagemill.sources import records as R
 from pagemill.sources import sinks as K
 from pagemill.streaming import ingest as I
@@ -200,3 +201,10 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
 def test_materialized_tables(spark):
     df = materialize(spark.range(10).where("id > 3"), "t")
     assert df.count() == 6 and materialize(df.where("false"), "empty").count() == 0
+
+
+def test_release(spark):
+    df = materialize(spark.range(10), "gone")
+    (file, *_) = df.inputFiles()
+    release(spark)
+    assert not os.path.exists(file.removeprefix("file://")) and materialize(spark.range(3), "again").count() == 3
