@@ -53,7 +53,8 @@ KINDS = ("text", "list", "table", "junk")
 
 
 def line_kind(line: str, short_words: int = 6) -> str | None:
-    """What one line looks like: text, list, table, junk, or None for a formula that stands alone or nothing at all."""
+    """What one line looks like: text, list, table, junk, None for a formula that stands alone or nothing at all,
+    or short: an entry without a mark, or part of a hard-wrapped sentence."""
     if len(line) >= 60 and line[-1] in _PLAIN_END and not _SUSPECT.search(line) and line.count(" ") >= len(line) // 16:
         return "text"
     if line[0] in "\\$[" and _FORMULA.match(line):
@@ -115,7 +116,7 @@ def line_kind(line: str, short_words: int = 6) -> str | None:
     if chinese:
         return "text"
     if len(words) <= short_words and not ended and not _STOP.search(body):
-        return "list"
+        return "short"
     return "text"
 
 
@@ -151,11 +152,17 @@ def describe(text: str | None) -> dict:
     else:
         distinct = 0
 
-    weight = dict.fromkeys(KINDS, 0)
+    weight = dict.fromkeys((*KINDS, "short"), 0)
+    n_short = n_lower = 0
     for line in lines:
         kind = line_kind(line)
         if kind:
+            if kind == "short":
+                n_short += 1
+                n_lower += line[0].islower()
             weight[kind] += (len(_TAG.sub("", line).strip()) or 1) if "<" in line else len(line)
+    wrapped = n_lower >= 0.25 * n_short and weight["text"] >= 0.2 * weight["short"]
+    weight["text" if wrapped else "list"] += weight.pop("short")
     total = sum(weight.values())
     for kind in KINDS:
         out[f"{kind}_share"] = weight[kind] / total if total else 0.0

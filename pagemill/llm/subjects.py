@@ -32,9 +32,9 @@ _ENDED = re.compile(r"[.!?。！？;:,][\"'”’»)\]]*$")
 _HEAD = re.compile(r"^(?:#{1,6}\s|={2,}\s|chapter\s+\d|section\s+\d|part\s+\d|—\s*\d+\s*—$)", re.I)
 #: Words of stock notices about the sheet itself (how it was scanned, printed, lent, to be used).
 NOTICE = frozenset(
-    "sheet sheets page pages volume volumes edition editions editors volunteers printing printed print scanned scanning scan scans desk shelf"
+    "sheet sheets page pages volume volumes edition editions editors volunteers printing printed print scanned scanning desk shelf"
     " copied copy copies exercises notes originals original revision recognised illegible continued blank intentionally columns corrections"
-    " trimmed frame lent typed spring series summary key evening classes room leave sale text previous available reduced quality contents end".split()
+    " trimmed frame lent typed summary evening classes room leave sale text previous available reduced quality contents end".split()
 )
 
 
@@ -65,7 +65,7 @@ def sentences(text: str | None, least_words: int = 3) -> list[list[str]]:
     out = []
     for sentence in _SPLIT.split(" ".join(kept)):
         words = _WORD.findall(sentence.lower())
-        if len(words) >= least_words and sum(w in NOTICE for w in words) < max(2, 0.12 * len(words)):
+        if len(words) >= least_words and sum(w in NOTICE for w in words) < (1 if len(words) <= 4 else max(2, 0.12 * len(words))):
             out.append(words)
     return out
 
