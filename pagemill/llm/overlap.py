@@ -1,11 +1,13 @@
 """Problem 1: pages of the evaluation splits that are, whole or nearly whole, in a page of the training split.
 
-A page's words are cut into content-defined chunks (after each word whose rolling hash is divisible by the mean
-length), in several independent cuttings. Each chunk's digest carries its length in the low bits. Digests are
-joined across the splits, and the lengths of shared chunks summed into overlap fractions. An evaluation page
-needs only its rarest chunks to find its partners: when chunks of a share ``least_share`` of its length must be
-shared, chunks of more than ``1 - least_share`` of its length hold one of them. Pairs that are found so are
-then checked exactly.
+Partners are found by the triples that define the case. When a share ``containment`` of an evaluation page's n
+triples must be in the training page, at most the rest are not: of any n - need + k triples at least k are shared.
+So each evaluation page asks by its rarest n - need + k triples only, and training pages that hold k of them and have
+enough triples are its candidates; no pair is lost. Candidates are then checked exactly.
+
+For the overlap fractions, a page's words are cut into content-defined chunks (after each word whose hash is
+divisible by the mean length), in several independent cuttings. Each chunk's digest carries its length in the low
+bits; digests are joined across the splits, and the lengths of shared chunks summed.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm.narrow import narrowed
 from pagemill.llm.neardup import exact_overlaps
 from pagemill.llm.words import Batch, mix
 from pagemill.session import materialize, ship
@@ -42,6 +45,42 @@ def chunk_digests(batch: Batch, mean: int, least: int, seed: int) -> tuple[np.nd
     return digest[keep], owner[keep]
 
 
+def _source(pages: DataFrame, id_col: str, split_col: str, text_col: str, train: str, evaluation: list[str]) -> DataFrame:
+    source = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{split_col}`").alias("split"), (F.col(f"`{split_col}`") == train).alias("train"), F.col(f"`{text_col}`").alias("text"))
+    source = source.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("split").isin([train, *evaluation]))
+    return source
+
+
+def triples(pages: DataFrame, id_col: str, split_col: str, text_col: str, train: str, evaluation: list[str], width: int, least_words: int) -> DataFrame:
+    """id, split, train (boolean), key, grams (array<bigint>, the distinct shingles) of the pages that count.
+
+    A text that a task meets again, in the same role, has null grams there, so a hot text has no more than one set a task.
+    """
+    ship(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
+        for big in batches:
+            for at in range(0, big.num_rows, 1024):
+                part = big.slice(at, 1024)
+                batch = Batch(part.column(3).to_pylist(), max(least_words, width))
+                if not len(batch):
+                    continue
+                grams, starts = batch.shingles(width)
+                rows, keys = pa.array(batch.rows), pa.array(batch.text_keys().view(np.int64))
+                roles = part.column(2).take(rows)
+                sets = []
+                for text, a, b in zip(zip(keys.to_pylist(), roles.to_pylist()), starts[:-1], starts[1:]):
+                    sets.append(None if text in met else np.unique(grams[a:b]).view(np.int64))
+                    met.add(text)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), part.column(1).take(rows), roles, keys, pa.array(sets, pa.list_(pa.int64()))],
+                    names=["id", "split", "train", "key", "grams"],
+                )
+
+    return _source(pages, id_col, split_col, text_col, train, evaluation).mapInArrow(run, "id string, split string, train boolean, key bigint, grams array<bigint>")
+
+
 def chunked(pages: DataFrame, id_col: str, split_col: str, text_col: str, train: str, evaluation: list[str], mean: int, least: int, least_words: int) -> DataFrame:
     """id, split, train (boolean), key, chunks (array<bigint>) of the pages that count."""
     ship(pages.sparkSession)
@@ -67,8 +106,7 @@ def chunked(pages: DataFrame, id_col: str, split_col: str, text_col: str, train:
                     names=["id", "split", "train", "key", "chunks"],
                 )
 
-    source = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{split_col}`").alias("split"), (F.col(f"`{split_col}`") == train).alias("train"), F.col(f"`{text_col}`").alias("text"))
-    source = source.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("split").isin([train, *evaluation]))
+    source = _source(pages, id_col, split_col, text_col, train, evaluation)
     return source.mapInArrow(run, "id string, split string, train boolean, key bigint, chunks array<bigint>")
 
 
@@ -88,8 +126,7 @@ def split_overlaps(
     containment: float = 0.7,
     mean_chunk: int = 4,
     least_chunk: int = 3,
-    least_share: float = 0.3,
-    seen_share: float = 0.06,
+    more: float = 0.05,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: id, split, train, key), (fractions: key, overlap), (pairs of keys: evaluation, training, containment).
 
@@ -98,30 +135,43 @@ def split_overlaps(
     training page. Pages with null id, text or split, of other splits, or of too few words are left out; a page
     delivered again counts once; equal texts share a key; an empty table gives empty results; other columns are not read.
     """
-    rows = materialize(chunked(pages, id_col, split_col, text_col, train, list(evaluation), mean_chunk, least_chunk, least_words), "chunked")
+    columns = (pages, id_col, split_col, text_col, train)
+    rows = triples(*columns, list(evaluation), width, least_words)
+    rows = materialize(rows.withColumn("grams", F.when(~F.col("train"), F.col("grams"))), "triples")
     members = rows.select("id", "split", "train", "key").distinct()
-    texts = materialize(rows.dropDuplicates(["key", "train"]).select("key", "train", "chunks"), "chunk-texts")
-    chunks = texts.select("key", "train", F.explode("chunks").alias("digest"))
-
-    counts = chunks.groupBy("digest").agg(F.count(F.when(F.col("train"), 1)).alias("n_train"), F.max(~F.col("train")).alias("asked")).where("asked and n_train > 0").select("digest", "n_train")
-    asked = materialize(chunks.where(~F.col("train")).select("key", "digest").join(counts, "digest", "left").select("key", "digest", F.coalesce("n_train", F.lit(0)).alias("n_train")), "asked")
-    length = _length("digest")
-    fractions = asked.groupBy("key").agg((F.sum(F.when(F.col("n_train") > 0, length).otherwise(0)) / F.sum(length)).alias("overlap"))
-
-    of_page = Window.partitionBy("key")
-    ranked = asked.select("key", "digest", "n_train", length.alias("length"), F.sum(length).over(of_page).alias("total"), F.sum(length).over(of_page.orderBy("n_train", "digest").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    rare = ranked.where(F.coalesce("before", F.lit(0)) <= (1 - least_share) * F.col("total")).where("n_train > 0").select("digest", F.col("key").alias("a"), "length", "total")
-
-    met = chunks.where("train").select("digest", F.col("key").alias("b")).join(rare, "digest")
-    candidates = met.groupBy("a", "b").agg(F.sum("length").alias("shared"), F.first("total").alias("total")).where(F.col("shared") >= seen_share * F.col("total"))
-    candidates = materialize(candidates.where("a <> b").select("a", "b"), "overlap-candidates")
+    texts = rows.groupBy("key").agg(F.max("train").alias("t"), F.min("train").alias("e"))
+
+    # The training pages' triples are made again where they are needed: they are larger than the texts.
+    asked = materialize(rows.where("grams is not null").dropDuplicates(["key"]).select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram")), "asked")
+    there = triples(*columns, [], width, least_words).where("grams is not null").select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counts = narrowed(there.select("gram"), "gram", asked, "gram").groupBy("gram").agg(F.count("*").alias("n_train"))
+
+    need = F.ceil(F.round(containment * F.col("n"), 6))
+    shared = F.greatest(F.lit(1), F.floor(more * F.col("n")))
+    of_page = Window.partitionBy("key").orderBy("n_train", "gram")
+    ranked = asked.join(counts, "gram", "left").select("key", "gram", F.coalesce("n_train", F.lit(0)).alias("n_train"), need.alias("need"), F.least(shared, need).alias("shared"), "n")
+    rare = ranked.withColumn("rank", F.row_number().over(of_page)).where("rank <= n - need + shared and n_train > 0")
+    rare = materialize(rare.select("gram", F.col("key").alias("a"), "need", "shared"), "rare")
+    met = narrowed(there, "gram", rare, "gram").select("gram", F.col("key").alias("b"), F.col("n").alias("n_b")).join(rare, "gram").where("n_b >= need and a <> b")
+    candidates = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("shared").alias("shared")).where("n >= shared")  # a text that several tasks met counts more, which loses none
+    candidates = materialize(candidates.select("a", "b"), "overlap-candidates")
 
     exact = exact_overlaps(candidates, members, pages, id_col, text_col, width)
     pairs = exact.select("a", "b", (F.col("n_both") / F.col("n_a")).alias("containment")).where(F.col("containment") >= containment)
-    same = texts.groupBy("key").agg(F.max("train").alias("t"), F.min("train").alias("e")).where("t and not e").select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("containment"))
+    same = texts.where("t and not e").select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("containment"))
+    fractions = chunk_fractions(chunked(*columns, list(evaluation), mean_chunk, least_chunk, least_words))
     return members, fractions, materialize(pairs.union(same), "overlap-pairs")
 
 
+def chunk_fractions(rows: DataFrame) -> DataFrame:
+    """(key, overlap) of the evaluation texts of ``chunked``; nothing runs before it is read."""
+    chunks = rows.dropDuplicates(["key", "train"]).select("key", "train", F.explode("chunks").alias("digest"))
+    counts = chunks.groupBy("digest").agg(F.count(F.when(F.col("train"), 1)).alias("n_train"))
+    asked = chunks.where(~F.col("train")).select("key", "digest").join(counts.where("n_train > 0"), "digest", "left")
+    length = _length("digest")
+    return asked.groupBy("key").agg((F.sum(F.when(F.col("n_train") > 0, length).otherwise(0)) / F.sum(length)).alias("overlap"))
+
+
 def page_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of keys as pairs of pages: evaluation id and split, training id."""
     asked = members.where("not train").select(F.col("key").alias("a"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"))

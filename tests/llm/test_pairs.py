@@ -50,6 +50,28 @@ def test_overlaps_are_those_of_all_pairs(spark, seed):
     assert shares and all(0 <= s <= 1 for s in shares)
 
 
+@pytest.mark.parametrize("even", [True, False])
+def test_overlaps_near_the_threshold(spark, even):
+    """Single-word edits that leave 0.70 to 0.75 of the triples, evenly spaced or at random, in pages of 20 to 600 words."""
+    rnd = pages.random.Random(31)
+    rows = []
+    for k, n in enumerate([20, 25, 40, 60, 80, 110, 150, 200, 300, 450, 600] * 3):
+        words = [f"w{rnd.randrange(9000)}" for _ in range(n)]
+        made, whole = list(words), pages.triples(" ".join(words))
+        order = [round((j + 0.5) * n / max(1, n // 10)) for j in range(max(1, n // 10))] if even else rnd.sample(range(n), n)
+        for j in order:
+            tried = [*made[:j], f"x{k}y{j}", *made[j + 1 :]]
+            own = pages.triples(" ".join(tried))
+            if len(own & whole) >= 0.7 * len(own):
+                made = tried
+        rows += [(f"t{k}", "train", " ".join(words)), (f"v{k}", ("val", "test")[k % 2], " ".join(made))]
+    want = pages.plain_overlaps(rows)
+    members, _, pairs = overlap.split_overlaps(frame(spark, rows))
+    got = overlap.page_pairs(members, pairs).collect()
+    assert {(min(r.eval_id, r.train_id), max(r.eval_id, r.train_id)) for r in got} == want and len(want) == 33
+    assert sum(r.containment <= 0.75 for r in got) >= 20
+
+
 @pytest.mark.parametrize("seed", [3, 5])
 def test_groups_are_those_of_all_pairs(spark, seed):
     rows = pages.make(seed)
