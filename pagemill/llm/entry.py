@@ -69,7 +69,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.group_report(*neardup.near_duplicates(spread(table(spark, sf_dir, "page_records"))))
+    pages = spread(table(spark, sf_dir, "page_records"))
+    members, links = neardup.near_duplicates(pages)
+    return neardup.group_report(members, links, neardup.link_counts(members, pages))
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ samples folded into a parity bitmap, so that the population count of two bitmaps
 Pages in one band bucket are compared with the bucket's least key first (a star, linear in the bucket); groups
 follow from the pairs that pass. Then, for every bucket that still holds several groups, all pairs of members of
 different groups are compared too, so no pair that shares a bucket is lost although a hot bucket that is one group
-never emits all its pairs. Candidates are verified by the sketches, then exactly by their shingle sets.
+never emits all its pairs. Candidates are verified by the sketches, then exactly by their shingle sets. The links
+found so are enough for the groups but are not all links; ``link_counts`` compares all texts of a group, block by block.
 """
 
 from __future__ import annotations
@@ -192,6 +193,50 @@ def near_duplicates(
     return members, links
 
 
+def _alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets are alike, each with each, exactly: incidence matrices of a slice of the shingles at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, gram, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    column, keep = np.cumsum(shared) - 1, shared[gram]
+    owner, gram = owner[keep], column[gram[keep]]
+    order = np.argsort(gram, kind="stable")
+    owner, gram = owner[order], gram[order]
+    both = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(gram, [low, low + 4096])
+        held = np.zeros((len(sets), 4096), dtype=np.float32)
+        held[owner[a:b], gram[a:b] - low] = 1
+        both += held @ held.T
+    size = np.array([len(x) for x in sets])
+    return both / (size[:, None] + size[None, :] - both) >= similarity
+
+
+def link_counts(members: DataFrame, pages: DataFrame, id_col: str = "id", text_col: str = "target_text", width: int = 3, similarity: float = 0.6, block: int = 256) -> DataFrame:
+    """(key, n_links) of the texts of groups: with how many other texts each is alike, all texts of a group being compared.
+
+    Large groups are cut into blocks by a hash; a task compares two blocks and gives counts, never pairs.
+    """
+    texts = members.select("root", "key").distinct()
+    parts = texts.groupBy("root").agg(F.ceil(F.count("*") / block).alias("parts"), F.count("*").alias("n")).where("n > 1").select("root", "parts")
+    placed = materialize(texts.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts"))), "placed")
+    stand = materialize(members.join(placed.select("key"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")), "link-stand-ins")
+    source = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    sets = shingle_sets(narrowed(source, "id", stand, "id").join(stand, "id"), width).dropDuplicates(["key"])
+    pairs = placed.join(sets, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    pairs = pairs.select("root", "key", "own", "grams", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def count(table: pa.Table) -> pa.Table:
+        alike = _alike([np.asarray(x, dtype=np.int64) for x in table.column("grams").to_pylist()], similarity)
+        np.fill_diagonal(alike, False)
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            own = table.column("own").to_numpy()
+            alike &= own[:, None] != own[None, :]
+        return pa.table({"key": table.column("key"), "n": pa.array(alike.sum(axis=1).astype(np.int64))})
+
+    return pairs.groupBy("root", "i", "j").applyInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n_links"))
+
+
 def pairs_within(members: DataFrame) -> DataFrame:
     """(id_a, id_b) of all ids of the same root, id_a < id_b."""
     shared = members.groupBy("root").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("root")
@@ -199,8 +244,11 @@ def pairs_within(members: DataFrame) -> DataFrame:
     return ids.withColumnRenamed("id", "id_a").join(ids.withColumnRenamed("id", "id_b"), "root").where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
-def group_report(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row for each page of a group: id, group_id (the least id), pages of the group and links of the page's text."""
-    ends = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
+def group_report(members: DataFrame, links: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """One row for each page of a group: id, group_id (the least id), pages of the group and links of the page's text.
+
+    ``counts`` (key, n_links) has the links of all pairs; without it only those of ``links`` count, which span the groups.
+    """
+    ends = counts if counts is not None else links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
     groups = members.groupBy("root").agg(F.min("id").alias("group_id"), F.countDistinct("id").alias("n_pages")).where("n_pages > 1")
     return members.join(groups, "root").join(ends, "key", "left").select("id", "group_id", "n_pages", F.coalesce("n_links", F.lit(0)).alias("n_links")).distinct()

@@ -83,6 +83,20 @@ def test_groups_are_those_of_all_pairs(spark, seed):
     assert len(report) == len({r.id for r in report})
 
 
+@pytest.mark.parametrize("block", [256, 8])
+def test_links_are_counted_over_all_pairs(spark, block):
+    rnd = pages.random.Random(17)
+    near = pages.text(rnd, 30)
+    rows = [(f"b{k:03d}", "val", pages.edited(rnd, near, 3)) for k in range(30)] + [("b-copy", "train", near)] * 2 + pages.make(3, 20)
+    df = frame(spark, rows)
+    members, links = neardup.near_duplicates(df)
+    got = {r.id: r.n_links for r in neardup.group_report(members, links, neardup.link_counts(members, df, block=block)).collect()}
+    sets = {tuple(pages.words(t)): pages.triples(t) for _, _, t in rows if pages.triples(t)}
+    texts = {i: tuple(pages.words(t)) for i, _, t in rows if i in got}
+    want = {i: sum(u != w and len(sets[u] & sets[w]) >= 0.6 * len(sets[u] | sets[w]) for u in sets) for i, w in texts.items()}
+    assert got == want and max(want.values()) >= 29
+
+
 def test_chains_join_groups(spark):
     rnd = pages.random.Random(9)
     first = pages.text(rnd, 12).split(" ")
