@@ -3,7 +3,8 @@
 All statistics of a document come from one pass over its whole text. Besides words, symbols, line ends and common
 words there are repetition statistics: the shares of repeated lines and paragraphs, and the share of the characters
 that the most frequent word pair, triple and quadruple cover. Every line is then read as a sentence, list entry,
-table row or junk by combined rules, and the kind that holds most of the characters is the document's.
+table row or junk by combined rules, and the kind that holds most of the characters is the document's; what would
+be running text is junk when its lines, paragraphs or runs of words are the same few over and over.
 """
 
 from __future__ import annotations
@@ -127,6 +128,7 @@ def describe(text: str | None) -> dict:
         return out
     words = _WORD.findall(text.lower())
     lines = [x for x in map(str.strip, _BREAK.split(text)) if x]
+    often = 0  # times of the most frequent run of four words
     n_solid, n_words = sum(map(len, text.split())), len(words)
     chinese = 0 if text.isascii() else len(_ZH.findall(text))
     out["n_words"], out["n_lines"] = n_words, len(lines)
@@ -148,6 +150,7 @@ def describe(text: str | None) -> dict:
             if n_words >= size:
                 gram, n = Counter(zip(*(words[k:] for k in range(size)))).most_common(1)[0]
                 out[name] = min(1.0, n * sum(map(len, gram)) / max(letters, 1)) if n > 1 else 0.0
+                often = n
         distinct = len(counts)
     else:
         distinct = 0
@@ -184,6 +187,9 @@ def describe(text: str | None) -> dict:
         kind = max(KINDS, key=lambda k: weight[k])
         if kind != "text" and weight[kind] <= weight["text"]:
             kind = "text"
+        repeated = len(lines) >= 8 and out["dup_line_share"] >= 0.75 or len(paragraphs) >= 8 and out["dup_paragraph_share"] >= 0.75
+        if kind == "text" and (repeated or often >= 8 and out["top_4gram_share"] >= 0.25):
+            kind = "junk"  # one sentence, notice or paragraph over and over
     out["kind"] = kind
     return out
 

@@ -21,6 +21,15 @@ def test_kinds(kind, text):
     assert describe(text)["kind"] == kind
 
 
+def test_repetition_decides():
+    sentence = "Please return every borrowed volume to the front desk before the library closes this evening."
+    notice = "All visitors of the old reading room must leave their coats and bags with the attendant at the entrance, where they get a ticket."
+    for text in ("\n".join([sentence] * 200), " ".join([sentence] * 200), "\n\n".join([f"{notice}\n{PROSE}"] * 100)):
+        assert describe(text)["kind"] == "junk"
+    assert describe("\n".join([sentence] * 3 + [PROSE, notice]))["kind"] == "text"
+    assert describe("\n".join([f"- {a} {b}" for a in ("grey", "old", "iron", "paper") for b in "river bridge gate lantern harbour garden meadow valley copper anchor".split()] * 20))["kind"] == "list"
+
+
 def test_statistics():
     s = describe("One two two.\nOne two two.\n\nThree!")
     assert (s["n_words"], s["n_lines"], s["n_chars"]) == (7, 3, 33)
