@@ -286,6 +286,13 @@ def epoch_shuffle(spark, d):
     return docs(spark, d).select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":3:42")), 256).alias("place")).orderBy("place").limit(100)
 
 
+@query
+def epoch_order(spark, d):
+    """The whole seeded order by SHA-256: every document and its position, from 0."""
+    placed = docs(spark, d).select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":3:42")), 256).alias("place"))
+    return N.with_position(placed, ["place", "doc_id"]).select("doc_id", "pos")
+
+
 @query
 def ratio_interleave(spark, d):
     """All documents and chats in one order, a fifth of which are chats as long as both last."""

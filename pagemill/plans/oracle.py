@@ -281,6 +281,7 @@ SQL: dict[str, str] = {
               SELECT o.split, o.k, o.b, r.shard + (r.used > 0 AND r.used + o.b > 65536)::INTEGER, CASE WHEN r.used > 0 AND r.used + o.b > 65536 THEN o.b ELSE r.used + o.b END FROM r JOIN o ON o.split = r.split AND o.k = r.k + 1)
         SELECT split, shard, count(*) AS n_rows, sum(b)::BIGINT AS bytes FROM r GROUP BY split, shard""",
     "epoch_shuffle": "SELECT doc_id, sha256(doc_id || ':3:42') AS place FROM documents ORDER BY place LIMIT 100",
+    "epoch_order": "SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id || ':3:42') NULLS FIRST, doc_id NULLS FIRST) - 1 AS pos FROM documents",
     "ratio_interleave": "SELECT 'main' AS origin, count(*) AS n FROM documents UNION ALL SELECT 'other', count(*) FROM chat_rows",
     "ratio_replace": f"SELECT CASE WHEN {u60('doc_id::VARCHAR', 7)} < {int(0.25 * (1 << 60))} THEN 'text' ELSE 'image' END AS kind, count(*) AS n FROM documents GROUP BY 1",
     "block_targets": f"""WITH b AS (SELECT id, unnest(blocks) AS b, (generate_subscripts(blocks, 1) - 1)::INTEGER AS pos FROM page_records), t AS (SELECT id, pos, b, {block_target('b')} AS target FROM b)

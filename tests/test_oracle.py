@@ -53,6 +53,12 @@ def test_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+def test_epoch_order_is_whole(spark, tmp_path):
+    spark.range(250).selectExpr("id AS doc_id", "'x' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["epoch_order"](spark, str(tmp_path)).collect()
+    assert sorted(r.pos for r in got) == list(range(250)) == sorted(r.doc_id for r in got)
+
+
 def test_contract():
     queries = entry.queries()
     assert set(QUERIES) <= set(queries) and set(entry.oracle_sql()) <= set(queries)
