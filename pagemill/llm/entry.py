@@ -7,21 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import mixing, neardup, overlap, packing, pieces, quality, splits, subjects, tokenizer
+from pagemill.llm import mixing, neardup, overlap, packing, pairs, pieces, quality, splits, subjects, tokenizer
 from pagemill.session import materialize, spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _, pairs = overlap.split_overlaps(spread(table(spark, sf_dir, "page_records")))
-    found = overlap.page_pairs(members, pairs)
+    members, _, found = overlap.split_overlaps(spread(table(spark, sf_dir, "page_records")))
+    found = overlap.page_pairs(members, found)
     return found.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation split and source: pages with overlaps, pairs, the mean overlap fraction and the doc_ids concerned."""
     pages = spread(table(spark, sf_dir, "page_records"))
-    members, fractions, pairs = overlap.split_overlaps(pages)
-    return overlap.report(pages, members, fractions, pairs)
+    members, fractions, found = overlap.split_overlaps(pages)
+    return overlap.report(pages, members, fractions, found)
 
 
 def p1_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def p3_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = neardup.near_duplicates(spread(table(spark, sf_dir, "page_records")))
-    return neardup.pairs_within(members)
+    return pairs.pairs_within(members.select("id", "root"))
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 One pass over the texts gives each page a key of its word sequence, MinHash bands and an odd sketch: the MinHash
 samples folded into a parity bitmap, so that the population count of two bitmaps' XOR estimates the similarity.
 Pages in one band bucket are compared with the bucket's least key first (a star, linear in the bucket); groups
-follow from the pairs that pass. Then, for every bucket that still holds several groups, all pairs of members of
-different groups are compared too, so no pair that shares a bucket is lost although a hot bucket that is one group
-never emits all its pairs. Candidates are verified by the sketches, then exactly by their shingle sets. The links
-found so are enough for the groups but are not all links; ``link_counts`` compares all texts of a group, block by block.
+follow from the pairs that pass. Then, for every bucket that still holds several groups, members of different groups
+are compared too: all pairs in a small bucket, while the members of a larger one (pages that share stock wording, say)
+look for each other by their rarest windows, which misses no alike pair and does not meet by what all of them share.
+So no pair that shares a bucket is lost and no bucket emits all its pairs. Candidates are verified by the sketches, then
+exactly by their shingle sets. The links found so are enough for the groups but are not all links; ``link_counts``
+compares all texts of a group, block by block.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.components import connected_components
 from pagemill.llm.narrow import narrowed
+from pagemill.llm.pairs import exact_overlaps, shingle_sets, stand_ins
+from pagemill.llm.rare import count_windows, overlapping
 from pagemill.llm.words import Batch, mix
 from pagemill.session import materialize, ship
 
@@ -101,40 +105,6 @@ def signatures(pages: DataFrame, id_col: str, text_col: str, width: int, least_w
     return pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null").mapInArrow(run, schema)
 
 
-def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """key, grams (array<bigint>, distinct) of (key, text); for the exact check."""
-    ship(texts.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 1024):
-                part = big.slice(at, 1024)
-                batch = Batch(part.column(1).to_pylist(), width)
-                grams, starts = batch.shingles(width)
-                sets = [np.unique(grams[a:b]) for a, b in zip(starts[:-1], starts[1:])]
-                ends = np.zeros(len(sets) + 1, dtype=np.int32)
-                np.cumsum([len(s) for s in sets], out=ends[1:])
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(batch.rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "grams"])
-
-    return texts.select("key", "text").mapInArrow(run, "key bigint, grams array<bigint>")
-
-
-def exact_overlaps(pairs: DataFrame, members: DataFrame, pages: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``pairs`` (a, b: keys) with n_a, n_b and n_both, the sizes of their shingle sets and of what these share.
-
-    One page stands for each key; only the texts that some pair needs are read into sets.
-    """
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    stand = materialize(members.join(needed, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")), "stand-ins")
-    texts = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    wanted = narrowed(texts, "id", stand, "id").join(stand, "id")  # of the texts, only those wanted are shuffled
-    sets = materialize(shingle_sets(wanted, width).dropDuplicates(["key"]), "shingle-sets")
-    a = sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
-    b = sets.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", F.size("grams_a").alias("n_a"), F.size("grams_b").alias("n_b"), F.size(F.array_intersect("grams_a", "grams_b")).alias("n_both"))
-
-
 def near_duplicates(
     pages: DataFrame,
     id_col: str = "id",
@@ -145,31 +115,37 @@ def near_duplicates(
     bands: int = 40,
     rows: int = 4,
     sketch_slack: float = 0.25,
+    small_bucket: int = 64,
+    exact: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(members: id, key, root), (links: a, b, similarity of keys): every page and the group it is of.
 
     A key stands for all pages of the same words. Pages with a null id, a null, empty or too short text are left
     out; a page delivered again counts once; equal texts are one key and so always one group; an empty table gives
     empty results; other columns are not read. ``similarity`` is the share of common shingles among all of two pages.
+    Bands meet an alike pair with a high probability; with ``exact`` all texts look for each other by their
+    rarest windows as well and no sketch decides, so that no alike pair is missed.
     """
     signed = materialize(signatures(pages, id_col, text_col, width, least_words, bands, rows), "signatures")
     members = signed.select("id", "key").distinct()
 
-    exploded = signed.select("key", F.explode("bands").alias("band"))
+    exploded = signed.select("key", F.explode("bands").alias("band")).repartition("band")  # shuffled once, read twice
     shared = exploded.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead < last").select("band", "lead")
-    buckets = materialize(exploded.join(shared, "band").distinct(), "buckets")
+    buckets = materialize(exploded.join(shared.hint("merge"), "band").distinct(), "buckets")
 
     sketch = [F.col(f"s{w}") for w in range(_WORDS)]
     most = most_differing_bits(similarity - sketch_slack, bands * rows)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Odd sketches first, then the sets."""
-        needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        sketches = signed.select("key", *sketch).join(needed, "key", "left_semi").dropDuplicates(["key"])
-        left = sketches.select(F.col("key").alias("a"), *[c.alias(f"l{w}") for w, c in enumerate(sketch)])
-        right = sketches.select(F.col("key").alias("b"), *[c.alias(f"r{w}") for w, c in enumerate(sketch)])
-        differing = sum((F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in range(_WORDS)), F.lit(0))
-        close = materialize(pairs.join(left, "a").join(right, "b").where(differing <= most).select("a", "b"), f"{name}-close")
+        close = pairs
+        if not exact:
+            needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+            sketches = signed.select("key", *sketch).join(needed, "key", "left_semi").dropDuplicates(["key"])
+            left = sketches.select(F.col("key").alias("a"), *[c.alias(f"l{w}") for w, c in enumerate(sketch)])
+            right = sketches.select(F.col("key").alias("b"), *[c.alias(f"r{w}") for w, c in enumerate(sketch)])
+            differing = sum((F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in range(_WORDS)), F.lit(0))
+            close = materialize(pairs.join(left, "a").join(right, "b").where(differing <= most).select("a", "b"), f"{name}-close")
         overlap = exact_overlaps(close, members, pages, id_col, text_col, width)
         share = F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both"))
         return materialize(overlap.select("a", "b", share.alias("similarity")).where(F.col("similarity") >= similarity), name)
@@ -178,14 +154,26 @@ def near_duplicates(
     links = verified(stars, "links")
     groups = connected_components(links.select("a", "b"), "groups")
 
-    # Exact rest: members of one bucket that are still in different groups.
+    # Members of one bucket that are still in different groups.
     placed = buckets.join(groups.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    apart = materialize(placed.join(mixed, "band", "left_semi"), "apart")
-    other = apart.select("band", F.col("key").alias("b"), F.col("root").alias("root_b"))
-    across = apart.withColumnRenamed("key", "a").join(other, "band").where("a < b and root <> root_b").select("a", "b").distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    more = verified(materialize(across, "across"), "more-links")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
+    apart = materialize(placed.join(mixed, "band"), "apart")
+    small, large = apart.where(F.col("n") <= small_bucket), apart.where(F.col("n") > small_bucket).select("key").distinct()
+    other = small.select("band", F.col("key").alias("b"), F.col("root").alias("root_b"))
+    across = small.withColumnRenamed("key", "a").join(other, "band").where("a < b and root <> root_b").select("a", "b").distinct()
+    across = materialize(across.join(stars, ["a", "b"], "left_anti"), "across")
+    if exact:
+        large = signed.select("key").distinct()
+    if large.limit(1).count():
+        texts = materialize(stand_ins(large, members, pages, id_col, text_col).select("text"), "large-buckets")
+        counted = materialize(count_windows(texts, width, least_words), "window-counts")
+        met = overlapping(texts, texts, counted, width, least_words, similarity)
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        of = groups.select(F.col("node").alias("key"), "root")
+        met = met.join(of.withColumnsRenamed({"key": "a", "root": "x"}), "a", "left").join(of.withColumnsRenamed({"key": "b", "root": "y"}), "b", "left")
+        met = met.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
+        across = materialize(across.union(met).distinct().join(stars, ["a", "b"], "left_anti"), "across-all")
+    more = verified(across, "more-links")
     links = links.union(more)
     if more.limit(1).count():
         groups = connected_components(links.select("a", "b"), "groups-all")
@@ -237,13 +225,6 @@ def link_counts(members: DataFrame, pages: DataFrame, id_col: str = "id", text_c
     return pairs.groupBy("root", "i", "j").applyInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n_links"))
 
 
-def pairs_within(members: DataFrame) -> DataFrame:
-    """(id_a, id_b) of all ids of the same root, id_a < id_b."""
-    shared = members.groupBy("root").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("root")
-    ids = members.join(shared, "root", "left_semi").select("root", "id")
-    return ids.withColumnRenamed("id", "id_a").join(ids.withColumnRenamed("id", "id_b"), "root").where("id_a < id_b").select("id_a", "id_b").distinct()
-
-
 def group_report(members: DataFrame, links: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One row for each page of a group: id, group_id (the least id), pages of the group and links of the page's text.
 

@@ -1,13 +1,13 @@
 """Problem 1: pages of the evaluation splits that are, whole or nearly whole, in a page of the training split.
 
-Partners are found by the triples that define the case. When a share ``containment`` of an evaluation page's n
-triples must be in the training page, at most the rest are not: of any n - need + k triples at least k are shared.
-So each evaluation page asks by its rarest n - need + k triples only, and training pages that hold k of them and have
-enough triples are its candidates; no pair is lost. Candidates are then checked exactly.
-
-For the overlap fractions, a page's words are cut into content-defined chunks (after each word whose hash is
-divisible by the mean length), in several independent cuttings. Each chunk's digest carries its length in the low
-bits; digests are joined across the splits, and the lengths of shared chunks summed.
+A rolling hash runs over a page's words in windows of three, which are the triples that define the case. Where it is
+divisible by the mean chunk length a chunk ends (and where the chunk would become longer than its bound), so chunks
+depend on the content only. For the overlap fractions the digests of all chunks of one cutting are joined across the
+splits and the lengths of shared chunks summed. A chunk of several words is too coarse to find every pair: with a word
+changed here and there, as a share of 0.7 allows, no chunk may be left. So pairs are found by the finest chunks,
+the windows of the same rolling hash: each evaluation page's windows are joined with the training pages' by their
+digests, only as many, and the rarest, as it takes to meet every page that can reach the share (``rare``); then
+the pairs are checked exactly.
 """
 
 from __future__ import annotations
@@ -16,50 +16,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.narrow import narrowed
-from pagemill.llm.neardup import exact_overlaps
+from pagemill.llm.pairs import exact_overlaps, with_pages
+from pagemill.llm.rare import Counters, overlapping
 from pagemill.llm.words import Batch, mix
 from pagemill.session import materialize, ship
 
 _LENGTH_BITS = 6
-_SEEDS = (1, 77, 1234)  # one cutting each
+LONGEST = (1 << _LENGTH_BITS) - 1  # words of a chunk
+_WINDOW = 3
 
 
-def chunk_digests(batch: Batch, mean: int, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the chunks of at least ``least`` words, and the texts (positions in the batch) they are of."""
+def chunk_digests(batch: Batch, mean: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digests, lengths in words, texts as positions in the batch) of all chunks; every word is in one chunk.
+
+    A digest is a hash of the chunk's words with the length in its low bits.
+    """
     h = batch.hashes
-    cut = mix(h + np.uint64(seed)) % np.uint64(mean) == 0
+    rolled = mix(h * np.uint64(3) + np.roll(h, 1) * np.uint64(5) + np.roll(h, 2) * np.uint64(7))
+    place = np.arange(len(h)) - np.repeat(batch.starts[:-1], batch.counts)
+    cut = (rolled % np.uint64(mean) == 0) & (place >= _WINDOW - 1)
     cut[batch.starts[1:] - 1] = True
     ends = np.flatnonzero(cut) + 1
-    begins = np.concatenate([[0], ends[:-1]])
-    lengths = ends - begins
-    place = (np.arange(len(h)) - np.repeat(begins, lengths) + 1).astype(np.uint64)
-    digest = mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), begins) + lengths.astype(np.uint64) + np.uint64(seed << 20))
-    low = np.uint64((1 << _LENGTH_BITS) - 1)
-    digest = (digest & ~low) | np.minimum(lengths, int(low)).astype(np.uint64)
-    owner = np.searchsorted(batch.starts, begins, side="right") - 1
-    keep = lengths >= least
-    return digest[keep], owner[keep]
+    lengths = np.diff(ends, prepend=0)
+    if lengths.max(initial=0) > LONGEST:  # the bound: further cuts, counted from the last natural one
+        begins = np.repeat(ends - lengths, -(-lengths // LONGEST))
+        nth = np.arange(len(begins)) - np.repeat(np.cumsum(-(-lengths // LONGEST)) - (-(-lengths // LONGEST)), -(-lengths // LONGEST))
+        begins = begins + nth * LONGEST
+        ends = np.append(begins[1:], len(h))
+        lengths = ends - begins
+    begins = ends - lengths
+    inside = (np.arange(len(h)) - np.repeat(begins, lengths) + 1).astype(np.uint64)
+    digest = mix(np.add.reduceat(mix(h + inside * np.uint64(0x9E3779B97F4A7C15)), begins) + lengths.astype(np.uint64))
+    digest = (digest & ~np.uint64(LONGEST)) | lengths.astype(np.uint64)
+    return digest, lengths, np.searchsorted(batch.starts, begins, side="right") - 1
 
 
 def _source(pages: DataFrame, id_col: str, split_col: str, text_col: str, train: str, evaluation: list[str]) -> DataFrame:
     source = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{split_col}`").alias("split"), (F.col(f"`{split_col}`") == train).alias("train"), F.col(f"`{text_col}`").alias("text"))
-    source = source.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("split").isin([train, *evaluation]))
-    return source
+    return source.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("split").isin([train, *evaluation]))
 
 
-def triples(pages: DataFrame, id_col: str, split_col: str, text_col: str, train: str, evaluation: list[str], width: int, least_words: int) -> DataFrame:
-    """id, split, train (boolean), key, grams (array<bigint>, the distinct shingles) of the pages that count.
-
-    A text that a task meets again, in the same role, has null grams there, so a hot text has no more than one set a task.
-    """
-    ship(pages.sparkSession)
+def keyed(source: DataFrame, width: int, least_words: int) -> DataFrame:
+    """id, split, train, key of the pages that count; beside them, in rows with a part, the training windows' counters."""
+    ship(source.sparkSession)
+    names = ["id", "split", "train", "key", "part", "cells"]
+    schema = "id string, split string, train boolean, key bigint, part int, cells binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = set()
+        counters, met = Counters(), set()
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 part = big.slice(at, 1024)
@@ -69,49 +76,37 @@ def triples(pages: DataFrame, id_col: str, split_col: str, text_col: str, train:
                 grams, starts = batch.shingles(width)
                 rows, keys = pa.array(batch.rows), pa.array(batch.text_keys().view(np.int64))
                 roles = part.column(2).take(rows)
-                sets = []
-                for text, a, b in zip(zip(keys.to_pylist(), roles.to_pylist()), starts[:-1], starts[1:]):
-                    sets.append(None if text in met else np.unique(grams[a:b]).view(np.int64))
-                    met.add(text)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), roles, keys, pa.array(sets, pa.list_(pa.int64()))],
-                    names=["id", "split", "train", "key", "grams"],
-                )
+                for key, train, a, b in zip(keys.to_pylist(), roles.to_pylist(), starts[:-1], starts[1:]):
+                    if train and key not in met:
+                        met.add(key)
+                        counters.add(np.unique(grams[a:b]))
+                none = pa.nulls(len(rows))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), roles, keys, none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        for k, cells in counters.parts():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([cells], pa.binary())], names=names)
 
-    return _source(pages, id_col, split_col, text_col, train, evaluation).mapInArrow(run, "id string, split string, train boolean, key bigint, grams array<bigint>")
+    return source.mapInArrow(run, schema).withColumn("task", F.spark_partition_id())
 
 
-def chunked(pages: DataFrame, id_col: str, split_col: str, text_col: str, train: str, evaluation: list[str], mean: int, least: int, least_words: int) -> DataFrame:
-    """id, split, train (boolean), key, chunks (array<bigint>) of the pages that count."""
-    ship(pages.sparkSession)
+def chunked(source: DataFrame, mean: int, least_words: int) -> DataFrame:
+    """train (boolean), key, chunks (array<bigint>, in order) of the pages that count."""
+    ship(source.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 part = big.slice(at, 1024)
-                batch = Batch(part.column(3).to_pylist(), max(least_words, 3))
+                batch = Batch(part.column(3).to_pylist(), max(least_words, _WINDOW))
                 if not len(batch):
                     continue
-                found = [chunk_digests(batch, mean, least, seed) for seed in _SEEDS]
-                owner = np.concatenate([o for _, o in found])
-                order = np.lexsort((np.concatenate([d for d, _ in found]), owner))
-                owner, digest = owner[order], np.concatenate([d for d, _ in found])[order]
-                fresh = np.ones(len(owner), dtype=bool)
-                fresh[1:] = (owner[1:] != owner[:-1]) | (digest[1:] != digest[:-1])
-                owner, digest = owner[fresh], digest[fresh]
+                digest, _, owner = chunk_digests(batch, mean)
                 ends = np.searchsorted(owner, np.arange(len(batch) + 1)).astype(np.int32)
-                rows = pa.array(batch.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), part.column(2).take(rows), pa.array(batch.text_keys().view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(digest.view(np.int64)))],
-                    names=["id", "split", "train", "key", "chunks"],
+                    [part.column(2).take(pa.array(batch.rows)), pa.array(batch.text_keys().view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(digest.view(np.int64)))],
+                    names=["train", "key", "chunks"],
                 )
 
-    source = _source(pages, id_col, split_col, text_col, train, evaluation)
-    return source.mapInArrow(run, "id string, split string, train boolean, key bigint, chunks array<bigint>")
-
-
-def _length(digest: str):
-    return F.col(digest).bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))
+    return source.mapInArrow(run, "train boolean, key bigint, chunks array<bigint>")
 
 
 def split_overlaps(
@@ -125,58 +120,43 @@ def split_overlaps(
     least_words: int = 20,
     containment: float = 0.7,
     mean_chunk: int = 4,
-    least_chunk: int = 3,
     more: float = 0.05,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: id, split, train, key), (fractions: key, overlap), (pairs of keys: evaluation, training, containment).
-
-    ``overlap`` is the share of an evaluation text's chunk lengths that also occur in the training split, whichever
-    page they are in. A pair comes out when at least ``containment`` of the evaluation page's shingles are in the
-    training page. Pages with null id, text or split, of other splits, or of too few words are left out; a page
-    delivered again counts once; equal texts share a key; an empty table gives empty results; other columns are not read.
+    """(members: id, split, train, key), (fractions: key, overlap), (pairs of keys: a evaluation, b training, containment).
+
+    ``overlap`` is the share of an evaluation text's words in chunks that also occur in the training split, whichever
+    page they are in (the page itself, if it was delivered in both splits). A pair comes out when at least
+    ``containment`` of the evaluation page's distinct windows are in the training page: every such pair, up to
+    collisions of 64-bit hashes. Pages with null id, text or split, of other splits, or of too few words are left out;
+    a page delivered again counts once; equal texts share a key; an empty table gives empty results; other columns
+    are not read.
     """
-    columns = (pages, id_col, split_col, text_col, train)
-    rows = triples(*columns, list(evaluation), width, least_words)
-    rows = materialize(rows.withColumn("grams", F.when(~F.col("train"), F.col("grams"))), "triples")
-    members = rows.select("id", "split", "train", "key").distinct()
-    texts = rows.groupBy("key").agg(F.max("train").alias("t"), F.min("train").alias("e"))
-
-    # The training pages' triples are made again where they are needed: they are larger than the texts.
-    asked = materialize(rows.where("grams is not null").dropDuplicates(["key"]).select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram")), "asked")
-    there = triples(*columns, [], width, least_words).where("grams is not null").select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    counts = narrowed(there.select("gram"), "gram", asked, "gram").groupBy("gram").agg(F.count("*").alias("n_train"))
-
-    need = F.ceil(F.round(containment * F.col("n"), 6))
-    shared = F.greatest(F.lit(1), F.floor(more * F.col("n")))
-    of_page = Window.partitionBy("key").orderBy("n_train", "gram")
-    ranked = asked.join(counts, "gram", "left").select("key", "gram", F.coalesce("n_train", F.lit(0)).alias("n_train"), need.alias("need"), F.least(shared, need).alias("shared"), "n")
-    rare = ranked.withColumn("rank", F.row_number().over(of_page)).where("rank <= n - need + shared and n_train > 0")
-    rare = materialize(rare.select("gram", F.col("key").alias("a"), "need", "shared"), "rare")
-    met = narrowed(there, "gram", rare, "gram").select("gram", F.col("key").alias("b"), F.col("n").alias("n_b")).join(rare, "gram").where("n_b >= need and a <> b")
-    candidates = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("shared").alias("shared")).where("n >= shared")  # a text that several tasks met counts more, which loses none
-    candidates = materialize(candidates.select("a", "b"), "overlap-candidates")
-
+    source = _source(pages, id_col, split_col, text_col, train, list(evaluation))
+    rows = materialize(keyed(source, width, least_words), "overlap-keys")
+    members = rows.where("part is null").select("id", "split", "train", "key").distinct()
+    counted = rows.where("part is not null").select("part", "cells", "task")
+    candidates = overlapping(source.where("not train").select("text"), source.where("train").select("text"), counted, width, least_words, containment, more)
     exact = exact_overlaps(candidates, members, pages, id_col, text_col, width)
-    pairs = exact.select("a", "b", (F.col("n_both") / F.col("n_a")).alias("containment")).where(F.col("containment") >= containment)
+    pairs = exact.select("a", "b", (F.col("n_both") / F.col("n_a")).alias("containment")).where(F.col("n_both") >= F.ceil(F.round(containment * F.col("n_a"), 6)))
+    texts = members.groupBy("key").agg(F.max("train").alias("t"), F.min("train").alias("e"))
     same = texts.where("t and not e").select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("containment"))
-    fractions = chunk_fractions(chunked(*columns, list(evaluation), mean_chunk, least_chunk, least_words))
-    return members, fractions, materialize(pairs.union(same), "overlap-pairs")
+    return members, chunk_fractions(chunked(source, mean_chunk, least_words)), materialize(pairs.union(same), "overlap-pairs")
 
 
 def chunk_fractions(rows: DataFrame) -> DataFrame:
     """(key, overlap) of the evaluation texts of ``chunked``; nothing runs before it is read."""
     chunks = rows.dropDuplicates(["key", "train"]).select("key", "train", F.explode("chunks").alias("digest"))
-    counts = chunks.groupBy("digest").agg(F.count(F.when(F.col("train"), 1)).alias("n_train"))
-    asked = chunks.where(~F.col("train")).select("key", "digest").join(counts.where("n_train > 0"), "digest", "left")
-    length = _length("digest")
-    return asked.groupBy("key").agg((F.sum(F.when(F.col("n_train") > 0, length).otherwise(0)) / F.sum(length)).alias("overlap"))
+    there = chunks.where("train").select("digest").distinct().withColumn("there", F.lit(True))
+    asked = chunks.where("not train").groupBy("key", "digest").agg(F.count("*").alias("n"))
+    words = F.col("n") * F.col("digest").bitwiseAND(F.lit(LONGEST))
+    return asked.join(there, "digest", "left").groupBy("key").agg((F.sum(F.when(F.col("there"), words).otherwise(0)) / F.sum(words)).alias("overlap"))
 
 
 def page_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of keys as pairs of pages: evaluation id and split, training id."""
-    asked = members.where("not train").select(F.col("key").alias("a"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"))
-    there = members.where("train").select(F.col("key").alias("b"), F.col("id").alias("train_id"))
-    return pairs.join(asked, "a").join(there, "b").where("eval_id <> train_id").select("eval_id", "eval_split", "train_id", "containment")
+    asked = members.where("not train").select(F.col("key").alias("a"), "id", F.col("split").alias("eval_split"))
+    there = members.where("train").select(F.col("key").alias("b"), "id")
+    return with_pages(pairs, asked, there).where("id_a <> id_b").select(F.col("id_a").alias("eval_id"), "eval_split", F.col("id_b").alias("train_id"), "containment")
 
 
 def report(pages: DataFrame, members: DataFrame, fractions: DataFrame, pairs: DataFrame, id_col: str = "id", doc_col: str = "doc_id", source_col: str = "source") -> DataFrame:

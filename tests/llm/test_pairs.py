@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import neardup, overlap
+from pagemill.llm.pairs import pairs_within, with_pages
 from pagemill.llm.components import connected_components
 from pagemill.llm.words import Batch, words_of
 
@@ -76,7 +77,7 @@ def test_overlaps_near_the_threshold(spark, even):
 def test_groups_are_those_of_all_pairs(spark, seed):
     rows = pages.make(seed)
     members, links = neardup.near_duplicates(frame(spark, rows))
-    got = [(r.id_a, r.id_b) for r in neardup.pairs_within(members).collect()]
+    got = [(r.id_a, r.id_b) for r in pairs_within(members).collect()]
     assert len(got) == len(set(got)) and set(got) == pages.plain_groups(rows)
     report = neardup.group_report(members, links).collect()
     assert {r.id for r in report} == {i for pair in got for i in pair}
@@ -104,7 +105,7 @@ def test_chains_join_groups(spark):
     rows = [(f"c{k}", "train", " ".join(fresh[: 10 * k] + first[10 * k :])) for k in range(8)]
     assert pages.plain_groups(rows) and not pages.plain_groups([rows[0], rows[-1]])
     members, _ = neardup.near_duplicates(frame(spark, rows))
-    assert {(r.id_a, r.id_b) for r in neardup.pairs_within(members).collect()} == pages.plain_groups(rows)
+    assert {(r.id_a, r.id_b) for r in pairs_within(members).collect()} == pages.plain_groups(rows)
 
 
 def test_one_hot_text(spark):
@@ -113,14 +114,14 @@ def test_one_hot_text(spark):
     hot, near = pages.text(rnd, 8), pages.text(rnd, 30)
     rows = [(f"a{k:03d}", "train", hot) for k in range(60)] + [(f"b{k:03d}", "val", pages.edited(rnd, near, 3)) for k in range(40)] + [(f"c{k:03d}", "test", pages.text(rnd, 8)) for k in range(40)]
     members, links = neardup.near_duplicates(frame(spark, rows))
-    assert {(r.id_a, r.id_b) for r in neardup.pairs_within(members).collect()} == pages.plain_groups(rows)
+    assert {(r.id_a, r.id_b) for r in pairs_within(members).collect()} == pages.plain_groups(rows)
     assert links.count() < 40 * 39 / 2  # the group does not emit all its pairs
 
 
 def test_empty_tables(spark):
     empty = frame(spark, [])
     members, links = neardup.near_duplicates(empty)
-    assert neardup.pairs_within(members).count() == 0 and neardup.group_report(members, links).count() == 0
+    assert pairs_within(members).count() == 0 and neardup.group_report(members, links).count() == 0
     members, fractions, pairs = overlap.split_overlaps(empty)
     assert overlap.page_pairs(members, pairs).count() == 0 and fractions.count() == 0
     nothing = frame(spark, [(None, None, None), ("a", "val", None), (None, "train", "x " * 40)])
@@ -132,7 +133,7 @@ def test_very_long_text(spark):
     long = pages.text(rnd, 3000)
     rows = [("a", "train", long), ("b", "val", pages.edited(rnd, long, 400)), ("c", "test", "word " * 30_000)]
     members, _ = neardup.near_duplicates(frame(spark, rows))
-    assert {(r.id_a, r.id_b) for r in neardup.pairs_within(members).collect()} == pages.plain_groups(rows) == {("a", "b")}
+    assert {(r.id_a, r.id_b) for r in pairs_within(members).collect()} == pages.plain_groups(rows) == {("a", "b")}
 
 
 def test_components(spark):
@@ -152,3 +153,77 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame([*edges, (None, "1"), ("z", "z"), *edges[:9]], "a string, b string")).collect()
     assert {r.node: r.root for r in got} == {n: find(n) for n in root} | {"z": "z"}
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_pages_of_hot_texts_are_paired_in_blocks(spark, block):
+    members = spark.createDataFrame([(f"p{k:02d}", k % 2) for k in range(20)] + [("p00", 0), ("alone", 7)], "id string, root bigint")
+    want = {(f"p{a:02d}", f"p{b:02d}") for a in range(20) for b in range(a + 1, 20) if a % 2 == b % 2}
+    got = [tuple(r) for r in pairs_within(members, block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "a bigint, b bigint")
+    left = spark.createDataFrame([(1, f"l{k}") for k in range(11)] + [(3, "m")], "a bigint, id string")
+    right = spark.createDataFrame([(2, f"r{k}") for k in range(8)] + [(4, "s"), (5, "t")], "b bigint, id string")
+    got = sorted((r.id_a, r.id_b) for r in with_pages(pairs, left, right, block).collect())
+    assert got == sorted([(f"l{a}", f"r{b}") for a in range(11) for b in range(8)] + [("m", "s")])
+
+
+def plain_fractions(rows, mean):
+    """Chunks cut one word after the other, as the definition says."""
+    seen = {}
+    for i, split, text in rows:
+        if pages.triples(text) and split in ("train", "val", "test"):
+            batch = Batch([text], 3)
+            h = [int(x) for x in batch.hashes]
+            chunks, start = [], 0
+            for k in range(len(h)):
+                rolled = (h[k] * 3 + (h[k - 1] * 5 + h[k - 2] * 7 if k >= 2 else 0)) % 2**64
+                cut = k >= 2 and int(overlap.mix(np.array([rolled], dtype=np.uint64))[0]) % mean == 0
+                if cut or k + 1 == len(h) or k + 1 - start == overlap.LONGEST:
+                    chunks.append(tuple(h[start : k + 1]))
+                    start = k + 1
+            seen.setdefault(tuple(h), (set(), chunks))[0].add(split)
+    there = {c for splits, chunks in seen.values() if "train" in splits for c in chunks}
+    return sorted(round(sum(len(c) for c in chunks if c in there) / sum(map(len, chunks)), 9) for splits, chunks in seen.values() if splits - {"train"})
+
+
+def test_fractions_are_shares_of_words(spark):
+    rnd = pages.random.Random(8)
+    rows = pages.make(4) + [("few", "val", "so it is " * 50), ("few2", "train", "so it is " * 30), ("same", "test", "word " * 500), ("same2", "train", "word " * 900)]
+    rows += [("own", "val", " ".join(f"u{rnd.randrange(10**6)}" for _ in range(400)))]
+    _, fractions, _ = overlap.split_overlaps(frame(spark, rows))
+    got = sorted(round(r.overlap, 9) for r in fractions.collect())
+    assert got == plain_fractions(rows, 4) and got[0] == 0 and got[-1] == 1
+
+
+def test_pages_of_few_words_or_stock_wording(spark):
+    """Six words in all, one of them changed; and pages of stock wording only, in two orders."""
+    rnd = pages.random.Random(13)
+    stock = [pages.text(rnd, 2) for _ in range(3)]
+    rows = []
+    for k in range(40):
+        words = [f"z{rnd.randrange(6)}" for _ in range(40)]
+        rows.append((f"t{k:02d}", "train", " ".join(words)))
+        words[rnd.randrange(40)] = "other"
+        rows.append((f"v{k:02d}", "val", " ".join(words)))
+        rows.append((f"s{k:02d}", ("train", "test")[k % 2], " ".join(rnd.sample(stock, 3))))
+    members, _, pairs = overlap.split_overlaps(frame(spark, rows))
+    got = {(min(r.eval_id, r.train_id), max(r.eval_id, r.train_id)) for r in overlap.page_pairs(members, pairs).collect()}
+    assert got == pages.plain_overlaps(rows) and len(got) > 400
+
+
+def test_many_pages_share_a_stock_paragraph(spark):
+    """Different pages with one stock paragraph each: buckets of stock wording do not pair their members."""
+    rnd = pages.random.Random(21)
+    stock = pages.text(rnd, 6)
+    rows = [(f"q{k:05d}", "train", stock + " " + " ".join(f"w{rnd.randrange(10**7)}" for _ in range(50))) for k in range(3000)]
+    rows += [(f"r{k:05d}", "val", pages.edited(rnd, rows[k][2], 2)) for k in range(60)]
+    members, _ = neardup.near_duplicates(frame(spark, rows), small_bucket=16)
+    got = {(r.id_a, r.id_b) for r in pairs_within(members).collect()}
+    assert got == {(f"q{k:05d}", f"r{k:05d}") for k in range(60)}
+
+
+def test_exact_groups_miss_nothing(spark):
+    rows = pages.make(6)
+    members, _ = neardup.near_duplicates(frame(spark, rows), bands=1, rows=8, exact=True)
+    assert {(r.id_a, r.id_b) for r in pairs_within(members).collect()} == pages.plain_groups(rows)
