@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.pairs import exact_overlaps, with_pages
+from pagemill.llm.pairs import MAPS, exact_overlaps, may_hold, set_bitmaps, with_pages
 from pagemill.llm.rare import Counters, overlapping
 from pagemill.llm.words import Batch, mix
 from pagemill.session import materialize, ship
@@ -60,10 +60,11 @@ def _source(pages: DataFrame, id_col: str, split_col: str, text_col: str, train:
 
 
 def keyed(source: DataFrame, width: int, least_words: int) -> DataFrame:
-    """id, split, train, key of the pages that count; beside them, in rows with a part, the training windows' counters."""
+    """id, split, train, key, n (windows) and their bitmap of the pages that count; beside them, in rows with a part, the training windows' counters."""
     ship(source.sparkSession)
-    names = ["id", "split", "train", "key", "part", "cells"]
-    schema = "id string, split string, train boolean, key bigint, part int, cells binary"
+    schema = "id string, split string, train boolean, key bigint, n int, " + ", ".join(f"{m} bigint" for m in MAPS) + ", part int, cells binary"
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int32(), *[pa.int64()] * len(MAPS), pa.int32(), pa.binary()]
+    names = ["id", "split", "train", "key", "n", *MAPS, "part", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, met = Counters(), set()
@@ -76,14 +77,16 @@ def keyed(source: DataFrame, width: int, least_words: int) -> DataFrame:
                 grams, starts = batch.shingles(width)
                 rows, keys = pa.array(batch.rows), pa.array(batch.text_keys().view(np.int64))
                 roles = part.column(2).take(rows)
-                for key, train, a, b in zip(keys.to_pylist(), roles.to_pylist(), starts[:-1], starts[1:]):
+                sets = [np.unique(grams[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+                for key, train, own in zip(keys.to_pylist(), roles.to_pylist(), sets):
                     if train and key not in met:
                         met.add(key)
-                        counters.add(np.unique(grams[a:b]))
-                none = pa.nulls(len(rows))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), roles, keys, none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+                        counters.add(own)
+                maps = set_bitmaps(sets).view(np.int64)
+                known = [part.column(0).take(rows), part.column(1).take(rows), roles, keys, pa.array([len(x) for x in sets], pa.int32()), *[pa.array(np.ascontiguousarray(maps[:, w])) for w in range(len(MAPS))]]
+                yield pa.RecordBatch.from_arrays([*known, *[pa.nulls(len(rows), k) for k in kinds[-2:]]], names=names)
         for k, cells in counters.parts():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([cells], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, kind) for kind in kinds[:-2]], pa.array([k], pa.int32()), pa.array([cells], pa.binary())], names=names)
 
     return source.mapInArrow(run, schema).withColumn("task", F.spark_partition_id())
 
@@ -133,9 +136,11 @@ def split_overlaps(
     """
     source = _source(pages, id_col, split_col, text_col, train, list(evaluation))
     rows = materialize(keyed(source, width, least_words), "overlap-keys")
-    members = rows.where("part is null").select("id", "split", "train", "key").distinct()
+    pages_kept = rows.where("part is null")
+    members = pages_kept.select("id", "split", "train", "key").distinct()
     counted = rows.where("part is not null").select("part", "cells", "task")
     candidates = overlapping(source.where("not train").select("text"), source.where("train").select("text"), counted, width, least_words, containment, more)
+    candidates = materialize(may_hold(candidates, pages_kept.select("key", "n", *MAPS), containment), "overlap-close")
     exact = exact_overlaps(candidates, members, pages, id_col, text_col, width)
     pairs = exact.select("a", "b", (F.col("n_both") / F.col("n_a")).alias("containment")).where(F.col("n_both") >= F.ceil(F.round(containment * F.col("n_a"), 6)))
     texts = members.groupBy("key").agg(F.max("train").alias("t"), F.min("train").alias("e"))

@@ -14,6 +14,33 @@ from pagemill.llm.words import Batch
 from pagemill.session import materialize, ship
 
 
+_BITMAP = 16  # 64-bit words of a set's bitmap
+MAPS = [f"m{w}" for w in range(_BITMAP)]
+
+
+def set_bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ``_BITMAP`` words for each set of hashes: a bit for each hash, at ten of its bits."""
+    out = np.zeros((len(sets), _BITMAP), dtype=np.uint64)
+    for row, own in zip(out, sets):
+        np.bitwise_or.at(row, (own & np.uint64(_BITMAP - 1)).astype(np.int64), np.uint64(1) << ((own >> np.uint64(4)) & np.uint64(63)))
+    return out
+
+
+def may_hold(pairs: DataFrame, maps: DataFrame, share: float) -> DataFrame:
+    """Of ``pairs`` (a, b) those where b may hold ``share`` of the set of a; none that does is lost.
+
+    ``maps``: (key, n, *MAPS). At most as many of a's hashes are in b as bits of a are set in b's bitmap, and those
+    that share a bit of a with another one.
+    """
+    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = narrowed(maps, "key", needed, "key").dropDuplicates(["key"])
+    left = wanted.select(F.col("key").alias("a"), "n", *[F.col(m).alias(f"l{m}") for m in MAPS])
+    right = wanted.select(F.col("key").alias("b"), *MAPS)
+    alone = sum((F.bit_count(F.col(f"l{m}")) for m in MAPS), F.lit(0))
+    both = sum((F.bit_count(F.col(f"l{m}").bitwiseAND(F.col(m))) for m in MAPS), F.lit(0))
+    return pairs.join(left, "a").join(right, "b").where(both + F.col("n") - alone >= F.ceil(F.round(share * F.col("n"), 6))).select("a", "b")
+
+
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """key, grams (array<bigint>, distinct) of (key, text)."""
     ship(texts.sparkSession)
@@ -43,13 +70,13 @@ def stand_ins(keys: DataFrame, members: DataFrame, pages: DataFrame, id_col: str
 def exact_overlaps(pairs: DataFrame, members: DataFrame, pages: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """``pairs`` (a, b: keys) with n_a, n_b and n_both, the sizes of their shingle sets and of what these share.
 
-    One page stands for each key. The set of b travels with the pair to that of a; a's sets are moved once.
+    One page stands for each key. The set of a travels with the pair to that of b; b's sets are moved once.
     """
     wanted = stand_ins(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), members, pages, id_col, text_col)
     sets = materialize(shingle_sets(wanted, width).dropDuplicates(["key"]), "shingle-sets")
     left = sets.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
     right = sets.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", F.size("grams_a").alias("n_a"), F.size("grams_b").alias("n_b"), F.size(F.array_intersect("grams_a", "grams_b")).alias("n_both"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.size("grams_a").alias("n_a"), F.size("grams_b").alias("n_b"), F.size(F.array_intersect("grams_a", "grams_b")).alias("n_both"))
 
 
 def _blocks(members: DataFrame, key: str, block: int) -> DataFrame:
@@ -63,11 +90,11 @@ def _each(n: str):
 
 
 def with_pages(pairs: DataFrame, left: DataFrame, right: DataFrame, block: int = 2000) -> DataFrame:
-    """``pairs`` (a, b, ...) with the rows of ``left`` (a, id, ...) and ``right`` (b, id, ...), whose ids become id_a and id_b.
+    """``pairs`` (a, b, ...), a table, with the rows of ``left`` (a, id, ...) and ``right`` (b, id, ...), whose ids become id_a and id_b.
 
     Many pages of one text are many blocks: no task meets more than a block of each side for one pair.
     """
-    left, right = _blocks(left, "a", block), _blocks(right, "b", block)
+    left, right = (_blocks(narrowed(df, k, pairs, k), k, block) for df, k in ((left, "a"), (right, "b")))
     n_left, n_right = (df.select(k, F.col("blocks").alias(n)).distinct() for df, k, n in ((left, "a", "n_left"), (right, "b", "n_right")))
     cells = pairs.join(n_left, "a").join(n_right, "b").withColumn("i", _each("n_left")).withColumn("j", _each("n_right")).drop("n_left", "n_right")
     left = cells.join(left.withColumnsRenamed({"id": "id_a", "own": "i"}).drop("blocks"), ["a", "i"])

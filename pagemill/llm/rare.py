@@ -11,6 +11,7 @@ read off the same counter.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,14 @@ MOST_BITS = 26  # of the bitmap of asked windows: 8 MB, whatever their number
 SALTED = 20_000  # texts with one window that one task should meet at most
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(cells, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+
+
+def _unpacked(cells: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(cells), dtype=np.uint32)
+
+
 class Counters:
     """Counts of windows by the leading bits of their hashes, over the texts of one task."""
 
@@ -53,7 +62,7 @@ class Counters:
     def parts(self) -> list[tuple[int, bytes]]:
         self.flush()
         table = self.cells.reshape(-1, _PART)
-        return [(int(k), table[k].tobytes()) for k in np.flatnonzero(table.any(axis=1))]
+        return [(int(k), _packed(table[k])) for k in np.flatnonzero(table.any(axis=1))]
 
 
 def count_windows(texts: DataFrame, width: int, least_words: int) -> DataFrame:
@@ -84,8 +93,8 @@ def frequencies(counted: DataFrame) -> Broadcast:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_PART, dtype=np.uint64)
         for cells in pdf["cells"]:
-            total += np.frombuffer(cells, dtype=np.uint32)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "task": [pdf["task"].iloc[0]], "cells": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
+            total += _unpacked(cells)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "task": [pdf["task"].iloc[0]], "cells": [_packed(total)]})
 
     tasks = counted.agg(F.max("task")).first()[0]
     while tasks:
@@ -93,7 +102,7 @@ def frequencies(counted: DataFrame) -> Broadcast:
         counted = counted.select("part", F.floor(F.col("task") / _FAN).cast("int").alias("task"), "cells").groupBy("part", "task").applyInPandas(add, "part int, task int, cells binary")
     scale = np.zeros((1 << CELLS) // _PART * _PART, dtype=np.uint8)
     for row in counted.select("part", "cells").toLocalIterator():  # 64 parts of 256 KB at most
-        cells = np.frombuffer(row["cells"], dtype=np.uint32).astype(np.float64)
+        cells = _unpacked(row["cells"]).astype(np.float64)
         scale[row["part"] * _PART : (row["part"] + 1) * _PART] = np.minimum(255, np.rint(_STEPS * np.log2(1 + cells)))
     return spark.sparkContext.broadcast(scale.tobytes())
 
