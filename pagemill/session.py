@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,13 +35,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests, one machine) an own folder is made and set.
+    Where that setting is absent an own folder is made and set, but only on one machine: on a cluster it would lie on
+    each node apart, so there the setting is required.
     """
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = sc.getCheckpointDir()
     if not place:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="pagemill-shared-")
         sc.setCheckpointDir(place)
     return place.rstrip("/")
@@ -81,6 +85,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete tables ``path/v<number>``, the oldest first."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place(path)):
+        return []
+    names = sorted(s.getPath().getName() for s in files.listStatus(place(path)))
+    return [f"{path.rstrip('/')}/{n}" for n in names if re.fullmatch(r"v\d{8}", n) and files.exists(place(f"{path}/{n}/_SUCCESS"))]
+
+
+def latest_version(spark: SparkSession, path: str) -> str | None:
+    """The last complete version of a table that is kept in versions under ``path``, if there is one."""
+    return (_versions(spark, path) or [None])[-1]
+
+
+def next_version(spark: SparkSession, path: str) -> str:
+    """Where to write the version after the last complete one; what an interrupted write left there is removed."""
+    last = latest_version(spark, path)
+    new = f"{path.rstrip('/')}/v{int(last.rpartition('/v')[2]) + 1 if last else 1:08d}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return new
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all tables that this application has materialized so far; frames that read them cannot be read again."""
     sc = spark.sparkContext
