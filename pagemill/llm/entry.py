@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import mixing, neardup, overlap, packing, pairs, pieces, quality, splits, subjects, tokenizer
-from pagemill.session import materialize, spread, table
+from pagemill.session import materialize, spread, table, work_path
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +94,16 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_incremental(spark: SparkSession, sf_dir: str, before: str = "2025-07-01") -> DataFrame:
-    """What was there before a day is split first; the rest comes as a second batch over the persisted components."""
+    """What was there before a day is split first; the rest comes as a second batch over the persisted components.
+
+    A page that was delivered in both is in its last batch. Rows without a time belong to the second.
+    """
     pages, origins = spread(table(spark, sf_dir, "page_records")), table(spark, sf_dir, "doc_origins")
-    _, persisted = splits.split_pages(pages.where(F.col("ingested_at") < before), origins.where(F.col("registered_at") < before))
-    after, _ = splits.split_pages(pages, origins, materialize(persisted, "persisted-components"))
-    return after
+    path = work_path(spark, "p6-components")
+    early = lambda c: F.coalesce(F.col(c) < before, F.lit(False))
+    first = materialize(splits.split_batch(pages.where(early("ingested_at")), origins.where(early("registered_at")), path), "first-batch")
+    second = materialize(splits.split_batch(pages.where(~early("ingested_at")), origins.where(~early("registered_at")), path), "second-batch")
+    return second.withColumn("batch", F.lit(2)).unionByName(first.join(second, "id", "left_anti").withColumn("batch", F.lit(1)))
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

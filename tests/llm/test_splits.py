@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from pagemill.llm import splits
-from pagemill.session import materialize
+from pagemill.session import latest_version, materialize
 
 PAGES = "id string, doc_id string, author int"
 ORIGINS = "doc_id string, author string, work_id string"
@@ -55,30 +55,93 @@ def test_shares_and_togetherness(spark):
     assert table.where("split is null").count() == 0
 
 
+def batch(spark, pages, origins, table, name):
+    got, table = run(spark, pages, origins, table, {"train": 0.4, "val": 0.3, "test": 0.3})
+    return got, materialize(table, name)
+
+
 def test_later_batches_keep_fill_and_quarantine(spark):
     first = [(f"d{k}-p0", f"d{k}", 0) for k in range(400)]
-    before, table = run(spark, first, [])
+    before, table = run(spark, first, [(f"d{k}", f"writer {k}", None) for k in range(400)])
     table = materialize(table, "kept")
-    a = next(i for i, r in before.items() if r.split == "train")[:-3]
-    b = next(i for i, r in before.items() if r.split == "test")[:-3]
-    more = [(f"n{k}-p0", f"n{k}", 0) for k in range(400)] + [("link-p0", "link", 0), ("new-p0", "new", 0)]
-    origins = [(a, "x", None), (b, "x", None), ("link", "x", None), ("new", "y", None), ("d7", "y", None)]
-    after, second = run(spark, first + more, origins, table)
-    for i, r in before.items():
-        assert after[i].split == r.split and after[i].state == "kept"
+    a = next(i for i, r in before.items() if r.split == "train")[1:-3]
+    b = next(i for i, r in before.items() if r.split == "test")[1:-3]
+    more = [(f"n{k}-p0", f"n{k}", 0) for k in range(400)] + [("link-p0", "link", 0), ("joined-p0", "joined", 0), (f"d{a}-p1", f"d{a}", 0), ("d8-p1", "d8", 0)]
+    origins = [("link", f"writer {a}", None), ("link", f"Writer {b}", None), ("joined", "writer 7", None)]
+    after, second = run(spark, more, origins, table)
     assert after["link-p0"].split is None and after["link-p0"].state == "quarantined"
-    assert after["new-p0"].split == before["d7-p0"].split and after["new-p0"].state == "kept"
+    assert after[f"d{a}-p1"].split == "train" and after[f"d{a}-p1"].state == "contested"
+    assert after["joined-p0"].split == before["d7-p0"].split and after["joined-p0"].state == "new"
+    assert after["d8-p1"].split == before["d8-p0"].split and after["d8-p1"].state == "kept"
     fresh = [after[f"n{k}-p0"] for k in range(400)]
     assert all(r.state == "new" for r in fresh) and abs(sum(r.split == "train" for r in fresh) / 400 - 0.84) < 0.08
-    again, _ = run(spark, first + more, origins, materialize(second, "kept"))
-    assert all(again[i].split == r.split for i, r in after.items() if r.state != "quarantined")
+    kept = {r.node: r for r in second.collect()}
+    for i, r in before.items():
+        assert kept[f"d:{i[:-3]}"].split == r.split
+    third, _ = run(spark, [("late-p0", "late", 0), ("n1-p1", "n1", 0)], [("late", "pen name", None), ("link", "pen name", None)], materialize(second, "kept"))
+    assert third["late-p0"].state == "quarantined" and third["n1-p1"].split == after["n1-p0"].split
+
+
+def test_no_merged_component_has_two_splits(spark):
+    """Random batches, every one over the table of the last; the merged root may be an old one or a new one."""
+    rnd = random.Random(4)
+    table, seen = None, {}
+    quarantined = 0
+    for n in range(3):
+        docs = [f"{rnd.choice('az')}{rnd.randrange(60)}" for _ in range(25)]
+        pages = [(f"{d}-p{n}", d, 0) for d in docs]
+        origins = [(d, f"{rnd.choice('bcxy')}{rnd.randrange(45)}", None) for d in docs for _ in range(rnd.randint(0, 2))]
+        got, now = batch(spark, pages, origins, table, f"batch-{n}")
+        root = {}
+
+        def find(x):
+            root.setdefault(x, x)
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        of = lambda node: seen[node].root if node in seen else node
+        for d, a, _ in origins:
+            x, y = find(of(f"d:{d}")), find(of(f"a:{a}"))
+            root[max(x, y)] = min(x, y)
+        merged = {}
+        for node, r in seen.items():
+            merged.setdefault(find(r.root), set()).add("?" if r.root.startswith("q:") else r.split)
+        for i, r in got.items():
+            node = f"d:{i[:-3]}"
+            splits_there = merged.get(find(of(node)), set()) - {None}
+            if len(splits_there) > 1 or "?" in splits_there:
+                old = node in seen and seen[node].split is not None
+                assert (r.state, r.split) == (("contested", seen[node].split) if old else ("quarantined", None))
+            else:
+                assert r.state in ("kept", "new") and r.split is not None and (not splits_there or {r.split} == splits_there)
+            quarantined += r.state == "quarantined"
+        of_root = {}
+        seen = {r.node: r for r in now.collect()}
+        for r in seen.values():
+            assert of_root.setdefault(r.root, r.split) == r.split and (r.split is None or not r.root.startswith("q:"))
+        table = now
+    assert quarantined
+
+
+def test_table_is_kept_for_another_session(spark, tmp_path):
+    path = f"file://{tmp_path}/components"
+    pages = [(f"d{k}-p0", f"d{k}", 0) for k in range(50)]
+    frame = lambda spark, rows, schema: spark.createDataFrame(rows, schema)
+    first = {r.id: r.split for r in splits.split_batch(frame(spark, pages, PAGES), frame(spark, [], ORIGINS), path).collect()}
+    other = spark.newSession()
+    (tmp_path / "components" / "v00000002").mkdir()  # an interrupted write
+    again = splits.split_batch(frame(other, [("d3-p9", "D 3", 0), ("e-p0", "e", 0)], PAGES), frame(other, [("e", "x", None), ("d4", "x", None)], ORIGINS), path)
+    got = {r.id: r.split for r in again.collect()}
+    assert got == {"d3-p9": first["d3-p0"], "e-p0": first["d4-p0"]}
+    assert latest_version(other, path).endswith("v00000002") and other.read.parquet(latest_version(other, path)).count() == 52
 
 
 def test_shares_follow_deficits(spark):
-    old = spark.createDataFrame([(f"d:d{k}", f"d:d{k}", "train") for k in range(300)], "node string, root string, split string")
-    got, _ = run(spark, [(f"d{k}-p0", f"d{k}", 0) for k in range(600)], [], old)
+    old = spark.createDataFrame([(f"d:d{k}", f"d:d{k}", "train", 1) for k in range(300)], "node string, root string, split string, n_ids bigint")
+    got, _ = run(spark, [(f"d{k}-p0", f"d{k}", 0) for k in range(300, 600)], [], old)
     fresh = [r.split for i, r in got.items() if r.state == "new"]
-    assert abs(sum(s == "train" for s in fresh) / len(fresh) - (0.84 * 600 - 300) / 300) < 0.08
+    assert len(fresh) == 300 and abs(sum(s == "train" for s in fresh) / 300 - (0.84 * 600 - 300) / 300) < 0.08
 
 
 def test_empty_tables(spark):
