@@ -3,14 +3,37 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+
+
+Path = tuple[str, ...]
+
+
+def leaves(config: Mapping, at: Path = ()) -> Iterator[tuple[Path, object]]:
+    """Every value that is no filled mapping, with its path."""
+    for name, value in config.items():
+        if isinstance(value, Mapping) and value:
+            yield from leaves(value, (*at, name))
+        else:
+            yield (*at, name), value
 
 
 def merged(base: Mapping, over: Mapping) -> dict:
-    """``base`` with ``over`` on top, level by level; neither is changed."""
-    out = dict(base)
-    for k, v in over.items():
-        out[k] = merged(out[k], v) if isinstance(v, Mapping) and isinstance(out.get(k), Mapping) else v
+    """``base`` with ``over`` on top: the values of ``over`` are put one by one at their paths; neither is changed.
+
+    An empty mapping in ``over`` adds nothing to a mapping and takes the place of anything else.
+    """
+    out: dict = {}
+    for path, value in (*leaves(base), *leaves(over)):
+        *way, last = path
+        here = out
+        for name in way:
+            if not isinstance(here.get(name), dict):
+                here[name] = {}
+            here = here[name]
+        if isinstance(value, Mapping):
+            value = here[last] if isinstance(here.get(last), dict) else {}
+        here[last] = value
     return out
 
 

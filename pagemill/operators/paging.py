@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
-from pagemill.operators.blocks import parse
-from pagemill.schemas import BLOCK
+from pagemill.operators.blocks import parse, within
+from pagemill.schemas import BLOCK, BLOCK_ARROW
 from pagemill.session import once, ship
 
 
@@ -68,18 +68,21 @@ def block_flags(blocks: Column) -> Column:
     return F.when(math, 1).otherwise(0) + F.when(tables, 2).otherwise(0)
 
 
-def document_blocks(docs: DataFrame, limit: int = 420, structured_html: bool = True) -> DataFrame:
-    """doc_id, subject, blocks of (doc_id, subject, text); the blocks of a null or empty text are an empty array."""
+def document_blocks(docs: DataFrame, limit: int = 420, structured_html: bool = True, guarded: bool = False) -> DataFrame:
+    """doc_id, subject, blocks of (doc_id, subject, text); the blocks of a null or empty text are an empty array.
+
+    ``guarded``: paragraphs whose target is beyond the limit are read again before anything is packed.
+    """
     ship(docs.sparkSession)
     prepared = docs.select("doc_id", "subject", X.normalize(F.col("text"), collapse=False).alias("text"))
     schema = f"doc_id {prepared.schema['doc_id'].dataType.simpleString()}, subject string, blocks array<{BLOCK}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.struct([(n, pa.string()) for n in ("kind", "text", "tex", "target")])
-        block = pa.struct([("id", pa.string()), ("kind", pa.string()), ("parts", pa.list_(part)), ("tex", pa.string()), ("rows", pa.list_(pa.list_(pa.string()))), ("target", pa.string())])
         for batch in batches:
             blocks = [parse(t, limit, structured_html) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, pa.list_(block))], names=["doc_id", "subject", "blocks"])
+            if guarded:
+                blocks = [within(b, limit) for b in blocks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, pa.list_(BLOCK_ARROW))], names=["doc_id", "subject", "blocks"])
 
     return prepared.mapInArrow(run, schema)
 
@@ -89,7 +92,7 @@ def document_pages(docs: DataFrame, budget: int = 950, limit: int = 420, structu
 
     A page's index counts the pages left out, too; the subject of a page is never null.
     """
-    parsed = document_blocks(docs, limit, structured_html)
+    parsed = document_blocks(docs, limit, structured_html, guarded=True)
     numbered = parsed.withColumn("page", page_numbers(F.transform("blocks", block_cost), budget))
     pages = numbered.select("doc_id", "subject", "blocks", "page", F.explode(F.array_distinct("page")).alias("page_index"))
     pages = pages.withColumn("blocks", F.expr("transform(filter(arrays_zip(blocks, page), x -> x.page = page_index), x -> x.blocks)"))
