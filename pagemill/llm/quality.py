@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _SPACE = re.compile(r"\s+")
 _FORMULA = re.compile(r"^(?:\\\[.*\\\]|\$\$.*\$\$|\[latex\].*\[/latex\]|\\begin\{(\w+\*?)\}.*\\end\{\1\})$", re.S)
 _INLINE = re.compile(r"\\\(.*?\\\)|\$[^$\n]{1,200}\$|\\\[.*?\\\]")
-_END = re.compile(r"[.!?。！？;；:：…][\"'”’»)\]]*$")
+_ENDS = frozenset(".!?。！？;；:：…")
+_CLOSERS = "\"'”’»)]"
 _STOP = re.compile(r"[.!?。！？;；,，、:]")
 _ENTRY = re.compile(r"^(?:[-*+•‣◦▪·–—]|\[(?:[ xX]?|\d{1,4})\]|[☐☑☒]|\(?\d{1,4}[.)]|§ ?\d+|\(?[a-z]\)|[ivxlc]{1,6}[.)]|#\d+)\s*\S", re.I)
 _LEADER = re.compile(r"(?:\.{3,}|(?: \.){3,}|…{2,})\s*\d*$")
@@ -50,6 +52,24 @@ _MANGLED = re.compile("\ufffd|ï¿½|Ã[\u0080-\u00bf]|Â|â€.?")  # text deco
 _PLAIN_END = frozenset(".!?。！？")
 _SUSPECT = re.compile(r"[|\t&<\\\ufffd]|^[-*+•§\[(#\d]|\.\.\.|\S{40}")
 
+def ended(line: str) -> bool:
+    """Whether a line ends in punctuation, quotes and brackets after it apart."""
+    return line.rstrip(_CLOSERS)[-1:] in _ENDS if line else False
+
+
+def top_share(codes: np.ndarray, lengths: np.ndarray, size: int, letters: int) -> tuple[float, int]:
+    """(share of the letters, times) of the most frequent code of a run of ``size`` words, the first one of equals."""
+    ordered = np.sort(codes)
+    begins = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    times = np.diff(begins, append=len(codes))
+    most = int(times.max())
+    if most == 1:
+        return 0.0, 1
+    equals = ordered[begins[times == most]]
+    at = int(np.argmax(codes == equals[0] if len(equals) == 1 else np.isin(codes, equals)))
+    return min(1.0, most * int(lengths[at : at + size].sum()) / max(letters, 1)), most
+
+
 KINDS = ("text", "list", "table", "junk")
 
 
@@ -68,21 +88,22 @@ def line_kind(line: str, short_words: int = 6) -> str | None:
     if line[:3].lower() == "<li":
         return "list"
     body = _INLINE.sub(" ", bare) if "\\" in bare or "$" in bare else bare
-    solid = body.replace(" ", "")
+    solid = len(body) - body.count(" ")
     if not solid:
         return None
-    alnum = sum(map(str.isalnum, solid))
+    words = _WORD.findall(body)
+    alnum = sum(map(len, words))
+    leads = ("..." in bare or " . ." in bare or "……" in bare) and _LEADER.search(bare)
     if line.count("|") >= 2 and line.lstrip().startswith("|") and (alnum or re.match(r"^[|:\-\s]+$", line)):
         cells = [c for c in _CELLS.split(line.strip().strip("|")) if c]
         if any(any(map(str.isalnum, c)) for c in cells) or "-" in line:
             return "table"
     if _HEX.match(bare):
         return "junk"
-    if alnum < 0.45 * len(solid) and not _LEADER.search(bare):
+    if alnum < 0.45 * solid and not leads:
         return "junk"
-    words = _WORD.findall(body)
     chinese = 0 if body.isascii() else len(_ZH.findall(body))
-    if not chinese and _LONG.search(body) and sum(len(x) for x in _LONG.findall(body)) > 0.6 * len(body) and not re.search(r"https?:", body):
+    if not chinese and len(body) >= 40 and _LONG.search(body) and sum(len(x) for x in _LONG.findall(body)) > 0.6 * len(body) and not re.search(r"https?:", body):
         cells = body.split(",")
         if not (len(cells) >= 3 and max(map(len, cells)) <= 25):
             return "junk"
@@ -96,27 +117,27 @@ def line_kind(line: str, short_words: int = 6) -> str | None:
         return "table"
     if "," in line and re.match(r"^[^,\s]+(?:,[^,\s]+)+$", line.strip()) and not chinese:
         return "table"
-    cells = _CELLS.split(bare)
+    cells = _CELLS.split(bare) if "|" in bare else []
     if len(cells) >= 3 and max(len(c.split()) for c in cells) <= 4:
         folded = Counter(c.lower() for c in cells)
         return "junk" if len(cells) >= 8 and len(folded) < 0.6 * len(cells) else "table"
     cells = _GAP.split(line.strip()) if "  " in line else []
     if len(cells) >= 2 and max(len(c.split()) for c in cells) <= 2 and len(max(_GAP.findall(line.strip()), key=len, default="")) >= 3:
         return "table"
-    if len(cells) >= 3 and max(len(c.split()) for c in cells) <= 1 and not _END.search(bare):
+    if len(cells) >= 3 and max(len(c.split()) for c in cells) <= 1 and not ended(bare):
         return "table"
-    if _LEADER.search(bare):
+    if leads:
         return "list"
-    ended = _END.search(bare)
-    if _CITED.match(bare) and len(words) <= 24:
+    closed = ended(bare)
+    if bare[0] == "[" and _CITED.match(bare) and len(words) <= 24:
         return "list"
-    if _ENTRY.match(bare) and len(words) <= 14 and not (ended and len(words) > 8):
+    if _ENTRY.match(bare) and len(words) <= 14 and not (closed and len(words) > 8):
         return "list"
-    if _PAIR.match(bare) and len(words) <= 7 and not re.search(r"[.!?]$", bare):
+    if ":" in bare and len(words) <= 7 and _PAIR.match(bare) and not re.search(r"[.!?]$", bare):
         return "list"
     if chinese:
         return "text"
-    if len(words) <= short_words and not ended and not _STOP.search(body):
+    if len(words) <= short_words and not closed and not _STOP.search(body):
         return "short"
     return "text"
 
@@ -135,23 +156,29 @@ def describe(text: str | None) -> dict:
     letters = sum(map(len, words))
     out["symbol_ratio"] = 1 - letters / n_solid if n_solid else 0.0
     if lines:
-        out["line_end_share"] = sum(bool(_END.search(x)) for x in lines) / len(lines)
+        out["line_end_share"] = sum(map(ended, lines)) / len(lines)
         counts = Counter(lines)
         out["dup_line_share"] = 1 - len(counts) / len(lines)
     paragraphs = [p for p in map(str.strip, _PARAGRAPH.split(text)) if p]
     if paragraphs:
         out["dup_paragraph_share"] = 1 - len(set(paragraphs)) / len(paragraphs)
     if n_words:
-        counts = Counter(words)
+        known: dict[str, int] = {}
+        codes = np.array([known.setdefault(w, len(known)) for w in words])
+        distinct = len(known)
+        times = np.bincount(codes)
         out["mean_word_length"] = letters / n_words
-        out["common_word_share"] = sum(counts[w] for w in COMMON & counts.keys()) / n_words
-        out["distinct_word_share"] = len(counts) / n_words
-        for size, name in ((2, "top_2gram_share"), (3, "top_3gram_share"), (4, "top_4gram_share")):
-            if n_words >= size:
-                gram, n = Counter(zip(*(words[k:] for k in range(size)))).most_common(1)[0]
-                out[name] = min(1.0, n * sum(map(len, gram)) / max(letters, 1)) if n > 1 else 0.0
-                often = n
-        distinct = len(counts)
+        out["common_word_share"] = sum(int(times[known[w]]) for w in COMMON & known.keys()) / n_words
+        out["distinct_word_share"] = distinct / n_words
+        if n_words >= 2:
+            lengths = np.array(list(map(len, words)))
+            pairs = codes[:-1] * distinct + codes[1:]
+            out["top_2gram_share"], often = top_share(pairs, lengths, 2, letters)
+            if n_words >= 3:
+                out["top_3gram_share"], often = top_share(pairs[:-1] * distinct + codes[2:], lengths, 3, letters) if often > 1 else (0.0, 1)
+            if n_words >= 4:
+                mixed = pairs[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pairs[2:].astype(np.uint64)
+                out["top_4gram_share"], often = top_share(mixed, lengths, 4, letters) if often > 1 else (0.0, 1)
     else:
         distinct = 0
 
