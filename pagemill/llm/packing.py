@@ -28,11 +28,10 @@ def best_fit(lengths: np.ndarray, capacity: int, most_items: int, attention: flo
 
 
 def best_fit_report(lengths: np.ndarray, capacity: int, most_items: int, attention: float, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.02, 0.05)) -> tuple[np.ndarray, np.ndarray]:
-    """The containers, and for each item how many open ones had room for its characters and refused it for another
-    capacity: (number of items, attention cost)."""
+    """The containers, and for each item how many open ones had room for its characters and refused it for its attention cost."""
     order = np.argsort(-lengths, kind="stable")
     out = np.empty(len(lengths), dtype=np.int64)
-    refused = np.zeros((len(lengths), 2), dtype=np.int64)
+    refused = np.zeros(len(lengths), dtype=np.int64)
     most = np.array([capacity, most_items, attention], dtype=np.float64)
     scale = np.array(weights) / most**2
     least = float(lengths.min()) if len(lengths) else 0.0
@@ -45,7 +44,7 @@ def best_fit_report(lengths: np.ndarray, capacity: int, most_items: int, attenti
         left = room[:n_open] - demand
         enough = left >= 0
         fits = enough.all(axis=1)
-        refused[i] = (enough[:, 0] & ~enough[:, 1]).sum(), (enough[:, 0] & ~enough[:, 2]).sum()
+        refused[i] = (enough[:, 0] & ~enough[:, 2]).sum()
         if fits.any():
             score = -(left * left) @ scale if rule == "norm" else (room[:n_open] * demand) @ scale
             at = int(np.argmax(np.where(fits, score, -np.inf)))
@@ -75,13 +74,12 @@ def pack(
     rule: str = "norm",
     block_items: int = 4096,
 ) -> DataFrame:
-    """(group, id, part, length, container, refused_items, refused_attention) of every item; containers never hold items of two groups.
+    """(group, id, part, length, container, refused) of every item; containers never hold items of two groups.
 
     An item longer than the capacity comes as parts of full capacity and a rest, no other is split. A null or empty
     item has length 0, part 0 and no container. Equal rows are items of their own; an empty table gives an empty table;
     further columns are not read. ``attention`` is the greatest sum of squared lengths, 0.7 of that of a full item by
-    default. The last columns count the open containers that had room for the item's characters and no capacity of
-    the other kinds.
+    default. ``refused`` counts the open containers that had room for the item's characters and not for its attention cost.
     """
     if capacity < 1 or most_items < 1 or rule not in ("norm", "dot"):
         raise ValueError("capacity and most_items must be positive, the rule norm or dot")
@@ -106,19 +104,19 @@ def pack(
         pdf = pdf.sort_values(["length", "item_id", "part"], ascending=[False, True, True], kind="stable")
         bins, refused = best_fit_report(pdf["length"].to_numpy(), capacity, most_items, attention, rule)
         prefix = f"{pdf['item_table'].iloc[0]}-{pdf['block'].iloc[0]:08d}-"
-        return pdf[["item_table", "item_id", "part", "length"]].assign(container=[f"{prefix}{b:05d}" for b in bins], refused_items=refused[:, 0], refused_attention=refused[:, 1])
+        return pdf[["item_table", "item_id", "part", "length"]].assign(container=[f"{prefix}{b:05d}" for b in bins], refused=refused)
 
-    schema = "item_table string, item_id string, part int, length bigint, container string, refused_items bigint, refused_attention bigint"
+    schema = "item_table string, item_id string, part int, length bigint, container string, refused bigint"
     packed = placed.groupBy("item_table", "block").applyInPandas(run, schema)
-    return packed.unionByName(parts.where("length = 0").select("item_table", "item_id", "part", "length", F.lit(None).cast("string").alias("container"), F.lit(0).cast("bigint").alias("refused_items"), F.lit(0).cast("bigint").alias("refused_attention")))
+    return packed.unionByName(parts.where("length = 0").select("item_table", "item_id", "part", "length", F.lit(None).cast("string").alias("container"), F.lit(0).cast("bigint").alias("refused")))
 
 
-def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """Per group: parts, containers, the share of their room that is used, the fewest containers any way could need, and
-    the parts that some container with room refused for its number of items or its attention cost."""
-    refused = [F.count_if(F.col(c) > 0).alias(c) for c in ("refused_items", "refused_attention")]
-    bins = packed.where("container is not null").groupBy("item_table", "container").agg(F.sum("length").alias("used"), F.count("*").alias("n"), *refused)
+def fill_report(packed: DataFrame, capacity: int, most_items: int = 16) -> DataFrame:
+    """Per group: parts, containers, the share of their room that is used, the fewest containers any way could need, the
+    parts that some container with room refused for their attention cost, and the containers that are full by their number of items."""
+    bins = packed.where("container is not null").groupBy("item_table", "container").agg(F.sum("length").alias("used"), F.count("*").alias("n"), F.count_if(F.col("refused") > 0).alias("refused"))
     report = bins.groupBy("item_table").agg(
-        F.sum("n").alias("n_parts"), F.count("*").alias("n_containers"), F.max("used").alias("most_used"), F.sum("used").alias("chars"), (F.sum("used") / (F.count("*") * capacity)).alias("fill"), F.sum("refused_items").alias("refused_items"), F.sum("refused_attention").alias("refused_attention")
-    )
+        F.sum("n").alias("n_parts"), F.count("*").alias("n_containers"), F.max("used").alias("most_used"), F.sum("used").alias("chars"), (F.sum("used") / (F.count("*") * capacity)).alias("fill"),
+        F.sum("refused").alias("n_refused"), F.count_if(F.col("n") >= most_items).alias("n_full_by_items"),
+    )
     return report.withColumn("least_containers", F.ceil(F.col("chars") / capacity))
