@@ -1,14 +1,18 @@
 """Problem 5: pages above a size limit become numbered pieces, cut along the page's structure.
 
-A page is read as a tree: sections by their headings, blocks, table rows, list items or sentences, words. Subtrees
-that fit are taken whole; only those that don't are entered, and neighbouring pieces are merged again, from the
-bottom up, as far as the limit allows. Every piece but the first begins with the last characters of the one before.
+A page is read as a tree: sections under the sections they belong to (by the levels of headings, marked or tagged),
+each with the text before its first subsection; in that text the page's blocks, then paragraphs, tables and lists, list
+items under the items they belong to, sentences, words. Subtrees that fit are taken whole; only those that don't are
+entered. Children of one section are merged with each other, from the bottom up, as far as the limit allows, and
+never with those of another; below that, whatever is next to each other. Every piece but the first begins with the last
+characters of the one before.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,11 +22,13 @@ from pagemill.session import ship
 
 Span = tuple[int, int]
 
-_HEADING = re.compile(r"^(#{1,6})\s+\S|^(={1,6})\s*\S.*$|^((?:chapter|section|part)\s+(?:\d+|[ivxlc]+)\b.{0,60})$", re.I)
+_HEADING = re.compile(r"(?P<hash>#{1,6})\s+\S|(?P<equal>={1,6})\s*\S|<h(?P<tag>[1-6])\b|(?P<name>chapter|part|section)\s+(?:\d+|[ivxlc]+)\b.{0,60}$", re.I)
+_OPENING = re.compile(r"<(?:h[1-6]|p|div|section|table|tr|ul|ol|li|blockquote|pre)\b", re.I)
+_LISTS = re.compile(r"<(/?)(?:ul|ol)\b", re.I)
 _ROW = re.compile(r"\t|^\s*\||<tr\b| & .*\\\\\s*$", re.I)
-_ITEM = re.compile(r"^\s*(?:[-*+•‣]|\(?\d{1,4}[.)]|\[[ xX]?\]|§ ?\d+|<li\b)")
+_ITEM = re.compile(r"^\s*(?:[-*+•‣]|\(?\d{1,4}[.)]|\[[ xX]?\]|§ ?\d+|<li\b)", re.I)
 _DISPLAY = re.compile(r"\\\[.*?\\\]|\$\$.*?\$\$|\[latex\].*?\[/latex\]|\\begin\{(\w+\*?)\}.*?\\end\{\1\}", re.S | re.I)
-_FORMULA = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|\$\$.*?\$\$|\[latex\].*?\[/latex\]|\$[^$\s][^$\n]{0,200}?\$", re.S | re.I)
+_FORMULA = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|\$\$.*?\$\$|\[latex\].*?\[/latex\]|\$[^$\s](?:[^$\n]*?[^$\s])?\$", re.S | re.I)
 _SENTENCE = re.compile(r"(?<=[.!?;])[\"'”’»)\]]*\s+|(?<=[。！？；])")
 _GAP = re.compile(r"\s+")
 _LINE_END = re.compile(r"\r\n|\r|\n")
@@ -58,19 +64,72 @@ def _outside(text: str, span: Span, pattern: re.Pattern, closed: re.Pattern) ->
     return out
 
 
-def _sections(text: str, lines: list[Span], level: int) -> list[list[Span]]:
-    groups: list[list[Span]] = [[]]
-    for a, b in lines:
-        m = _HEADING.match(text[a:b].strip())
-        depth = len(m.group(1) or m.group(2) or "#") if m else 9
-        if depth <= level and groups[-1]:
-            groups.append([])
-        groups[-1].append((a, b))
-    return groups
-
-
 def _lines(text: str, span: Span) -> list[Span]:
-    return _cuts(*span, [m.end() for m in _LINE_END.finditer(text, *span)])
+    """Lines, and what block-level tags open within them."""
+    return _cuts(*span, [m.end() for m in _LINE_END.finditer(text, *span)] + [m.start() for m in _OPENING.finditer(text, *span)])
+
+
+def _level(line: str) -> int:
+    """1 to 6 for a heading, else 0."""
+    m = _HEADING.match(line.strip())
+    if not m:
+        return 0
+    named = {"section": 2}.get((m["name"] or "").lower(), 1)
+    return len(m["hash"] or m["equal"] or "") or int(m["tag"] or 0) or named
+
+
+@dataclass
+class Section:
+    """A stretch of the text under a heading (or the whole page): what comes before the first subsection, and these."""
+
+    level: int
+    start: int
+    end: int
+    body_end: int
+    below: list["Section"] = field(default_factory=list)
+
+
+def sections(text: str) -> Section:
+    """The tree of a text's sections; a heading belongs to the nearest one before it of a lower level."""
+    root = Section(0, 0, len(text), len(text))
+    path = [root]
+    for a, b in _lines(text, (0, len(text))):
+        level = _level(text[a:b])
+        if not level:
+            continue
+        while path[-1].level >= level:
+            path.pop().end = a
+        if not path[-1].below:
+            path[-1].body_end = a
+        here = Section(level, a, len(text), len(text))
+        path[-1].below.append(here)
+        path.append(here)
+    for s in path:
+        s.end = len(text)
+    return _closed(root)
+
+
+def _closed(section: Section) -> Section:
+    """Bodies of sections without subsections end with them."""
+    todo = [section]
+    while todo:
+        s = todo.pop()
+        if not s.below:
+            s.body_end = s.end
+        todo += s.below
+    return section
+
+
+def _items(text: str, lines: list[Span]) -> list[Span]:
+    """The outermost items or rows among the lines after the first, each with what is nested in it."""
+    depth, places = 0, []
+    for k, (a, b) in enumerate(lines):
+        line = text[a:b]
+        if k and (_ROW.search(line) or _ITEM.match(line)):
+            places.append((depth * 8 + len(line) - len(line.lstrip(" \t")), a))
+        depth += sum(-1 if m[1] else 1 for m in _LISTS.finditer(line))
+    outermost = min((d for d, _ in places), default=0)
+    return _cuts(lines[0][0], lines[-1][1], [a for d, a in places if d == outermost]) if lines else []
 
 
 def _blocks(text: str, lines: list[Span]) -> list[Span]:
@@ -81,7 +140,7 @@ def _blocks(text: str, lines: list[Span]) -> list[Span]:
     kinds = []
     for a, b in lines:
         line = text[a:b]
-        kinds.append("" if not line.strip() else "row" if _ROW.search(line) else "item" if _ITEM.match(line) else "text")
+        kinds.append("" if not line.strip() else "row" if _ROW.search(line) else "item" if _ITEM.match(line) or _LISTS.match(line.lstrip()) else "text")
     places = []
     for i in range(1, len(lines)):
         if kinds[i - 1] != kinds[i] or kinds[i] == "text":
@@ -90,50 +149,52 @@ def _blocks(text: str, lines: list[Span]) -> list[Span]:
     return _cuts(start, end, [p for p in places if not any(a < p < b for a, b in held)])
 
 
+def _pieces(text: str, section: Section, limit: int, first: int, blocks: list[int]) -> list[Span]:
+    """The pieces of a section; those of an oversized subsection stay apart from its siblings."""
+    out: list[Span] = []
+    whole: list[Span] = []
+    todo: list[Span | Section] = [(section.start, section.body_end), *section.below]
+    for part in todo:
+        a, b = part if isinstance(part, tuple) else (part.start, part.end)
+        if a == b:
+            continue
+        if b - a <= (first if a == 0 else limit):
+            whole.append((a, b))
+            continue
+        out += _merged(whole, limit, first)
+        whole = []
+        out += _pack(text, (a, b), limit, first, 0, blocks) if isinstance(part, tuple) else _pieces(text, part, limit, first, blocks)
+    return out + _merged(whole, limit, first)
+
+
 def _pack(text: str, span: Span, limit: int, first: int, depth: int, blocks: list[int]) -> list[Span]:
-    """Spans of at most ``limit`` characters (``first`` at the beginning) that make up ``span``."""
+    """Spans of at most ``limit`` characters (``first`` at the beginning) that make up ``span``, a text without subsections."""
     a, b = span
     if b - a <= (first if a == 0 else limit):
         return [span]
     parts: list[Span] = [span]
-    while depth < 7:
+    while depth < 5 and len(parts) == 1:
         depth += 1
-        if depth in (1, 2):  # sections, then those below them
-            lines = _lines(text, span)
-            parts = [(g[0][0], g[-1][1]) for g in _sections(text, lines, depth if depth == 1 else 6)]
-        elif depth == 3:  # the page's own blocks, where they are known
+        if depth == 1:  # the page's own blocks, where they are known
             parts = _cuts(a, b, blocks)
-        elif depth == 4:
+        elif depth == 2:
             parts = _blocks(text, _lines(text, span))
-        elif depth == 5:  # rows, items, lines of verse; running text only if it has no sentences
-            lines = _lines(text, span)
-            parts = lines if any(_ROW.search(text[x:y]) or _ITEM.match(text[x:y]) for x, y in lines) else [span]
-        elif depth == 6:
+        elif depth == 3:  # rows and items, however deep they are nested; running text only if it has no sentences
+            parts = _items(text, _lines(text, span))
+        elif depth == 4:
             parts = _cuts(a, b, _outside(text, span, _SENTENCE, _FORMULA))
         else:
             parts = _cuts(a, b, _outside(text, span, _GAP, _FORMULA))
             if len(parts) == 1:
                 parts = _cuts(a, b, [m.end() for m in _GAP.finditer(text, a, b)])
-        if len(parts) > 1:
-            break
-    if len(parts) <= 1:  # nothing natural is left: plain slices
+    if len(parts) == 1:  # nothing natural is left: plain slices
         marks, at = [], a + (first if a == 0 else limit)
         while at < b:
             marks.append(at)
             at += limit
         return _cuts(a, b, marks)
-    if depth > 2:
-        return _merged([s for part in parts for s in _pack(text, part, limit, first, depth, blocks)], limit, first)
-    out: list[Span] = []
-    whole: list[Span] = []  # sections that fit are merged with each other, not with what an oversized one left
-    for part in parts:
-        pieces = _pack(text, part, limit, first, depth, blocks)
-        if len(pieces) == 1:
-            whole += pieces
-        else:
-            out += _merged(whole, limit, first) + pieces
-            whole = []
-    return out + _merged(whole, limit, first)
+    again = depth - (depth == 3)  # an item may hold items
+    return _merged([s for part in parts for s in _pack(text, part, limit, first, again, blocks)], limit, first)
 
 
 def cut(text: str, max_chars: int, overlap: int, blocks: list[int] | None = None) -> list[tuple[int, int, int]]:
@@ -143,7 +204,7 @@ def cut(text: str, max_chars: int, overlap: int, blocks: list[int] | None = None
     """
     if not 0 <= overlap < max_chars:
         raise ValueError("the overlap must be smaller than the limit")
-    spans = _pack(text, (0, len(text)), max_chars - overlap, max_chars, 0, blocks or []) if text else []
+    spans = _pieces(text, sections(text), max_chars - overlap, max_chars, blocks or []) if text else []
     return [(max(0, a - overlap), a, b) for a, b in spans]
 
 

@@ -34,7 +34,7 @@ _PARAGRAPH = re.compile(r"(?:\r\n?|\n)[ \t]*(?:\r\n?|\n)\s*")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _SPACE = re.compile(r"\s+")
 _FORMULA = re.compile(r"^(?:\\\[.*\\\]|\$\$.*\$\$|\[latex\].*\[/latex\]|\\begin\{(\w+\*?)\}.*\\end\{\1\})$", re.S)
-_INLINE = re.compile(r"\\\(.*?\\\)|\$[^$\n]{1,200}\$|\\\[.*?\\\]")
+_INLINE = re.compile(r"\\\(.*?\\\)|\$[^$\s](?:[^$\n]*?[^$\s])?\$|\\\[.*?\\\]")
 _ENDS = frozenset(".!?。！？;；:：…")
 _CLOSERS = "\"'”’»)]"
 _STOP = re.compile(r"[.!?。！？;；,，、:]")

@@ -28,7 +28,7 @@ from pagemill.session import materialize, ship
 
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _DISPLAY = re.compile(r"\\\[.*?\\\]|\$\$.*?\$\$|\[latex\].*?\[/latex\]|\\begin\{(\w+\*?)\}.*?\\end\{\1\}", re.S | re.I)
-_INLINE = re.compile(r"\\\(.*?\\\)|\$[^$\s][^$\n]{0,200}?\$", re.S)
+_INLINE = re.compile(r"\\\(.*?\\\)|\$[^$\s](?:[^$\n]*?[^$\s])?\$", re.S)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _ALL = (1 << 64) - 1
 _LINES = re.compile("[\r\n\x0b\x0c\x85\u2028\u2029]+")

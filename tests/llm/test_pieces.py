@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagemill.llm.pieces import cut, oversized_pieces, page_pieces, page_texts
+from pagemill.llm.pieces import cut, oversized_pieces, page_pieces, page_texts, sections
 from pagemill.schemas import BLOCK
 
 
@@ -32,6 +32,48 @@ def test_natural_places():
     assert any(p.startswith("# Two") for p in (text[own:end] for _, own, end in cut(text, 60, 0)))
 
 
+def own(text, limit):
+    return [text[a:b] for _, a, b in cut(text, limit, 0)]
+
+
+@pytest.mark.parametrize("form", ["{hash} {name}\n", "<h{n}>{name}</h{n}>\n", "<h{n}>{name}</h{n}>"])
+def test_siblings_of_different_parents_stay_apart(form):
+    head = lambda n, name: form.format(hash="#" * n, n=n, name=name)
+    words = "Some words of this part are here.\n"
+    text = head(2, "A") + words + head(3, "a1") + words * 2 + head(3, "a2") + words + head(2, "B") + words
+    got = own(text, 150)
+    assert "".join(got) == text and not any("a2" in p and head(2, "B") in p for p in got)
+    assert any(p.startswith(head(2, "A")) and "a1" in p for p in own(text, 151)) and any(p.startswith(head(2, "B")) for p in got)
+    tree = sections(text)
+    assert [(s.level, [x.level for x in s.below]) for s in tree.below] == [(2, [3, 3]), (2, [])]
+
+
+def test_levels_that_are_passed_over():
+    tree = sections("### x\nwords\n# y\n#### z\nwords\n## w\nwords\n# v")
+    assert [(s.level, [x.level for x in s.below]) for s in tree.below] == [(3, []), (1, [4, 2]), (1, [])]
+    assert sections("").below == [] and sections("no heading").body_end == 10
+
+
+@pytest.mark.parametrize("html", [False, True])
+def test_nested_items_stay_with_their_item(html):
+    if html:
+        text = "<ul>" + "".join(f"<li>item {k} has some words<ul><li>below {k} one</li><li>below {k} two</li></ul></li>" for k in range(6)) + "</ul>"
+    else:
+        text = "".join(f"- item {k} has some words\n  - below {k} one\n  - below {k} two\n" for k in range(6))
+    got = own(text, 120)
+    assert "".join(got) == text and len(got) > 2
+    assert all(p.count("one") == p.count("two") == p.count("has some") for p in got)
+    small = own(text, 45)
+    assert "".join(small) == text and all(p.lstrip(" ").startswith(("- ", "<li>", "<ul>")) for p in small)
+
+
+def test_long_formula_is_not_cut():
+    formula = "$" + " + ".join(f"x_{{{k}}}" for k in range(60)) + "$"
+    text = "Words stand here. " * 20 + formula + " and go on. " + "Words stand here. " * 20
+    assert len(formula) > 400 and any(formula in p for p in own(text, 600))
+    assert all(len(p) <= 100 for p in own("It costs $5 here. " * 30 + "Or $6 there. " * 30, 100))
+
+
 def test_small_subtrees_are_merged():
     text = "\n".join(f"Line number {k} is short." for k in range(100))
     sizes = [end - start for start, _, end in cut(text, 300, 30)]
