@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.udfs import html_unescape, nfc
+from pagemill.functions.udfs import html_unescape, nfc, unwrap
 
 #: Every white space of Unicode, for a regex class; Java's \\s is ASCII only.
 SPACES = r"\s\x0B\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -22,6 +22,7 @@ MATH_COMMANDS = (
     " partial nabla cdot times leq geq neq approx infty mathrm mathbf mathit text begin end"
 ).split()
 MATH_SUBJECTS = ("mathematics", "physics", "chemistry", "astronomy", "electricalengineering", "electrical engineering")
+VISUAL = r"\\(textbf|textit|emph|mathrm|mathbf|mathit|textsubscript|textsuperscript)\{([^{}]*)\}"
 STRONG_SYMBOLS = r"[_^={}≤≥∫∑√]"
 OPERATION = r"[A-Za-z0-9)\]}]\s*[+\-*/=<>]\s*[A-Za-z0-9({\[]"
 CJK = r"[\u4E00-\u9FFF\u3400-\u4DBF\uF900-\uFAFF\u3040-\u309F\u30A0-\u30FF\uAC00-\uD7AF]"
@@ -147,13 +148,14 @@ def paragraph_chunks(c: Column, max_chars: int = 420) -> Column:
 
 
 def safe_boundaries(c: Column) -> Column:
-    """Positions where a text may be cut: 0, after a line end, after an end mark before a blank or line end, its length."""
-    at = lambda i: F.substring(c, i, 1)
-    inner = F.filter(
-        F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c))).otherwise(F.array().cast("array<int>")),
-        lambda i: (at(i) == "\n") | (at(i).isin(*".!?。！？") & (i < F.length(c)) & at(i + 1).isin(" ", "\n")),
-    )
-    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), inner, F.array(F.length(c)))))
+    """Positions where a text may be cut: 0, after a line end, after an end mark before a blank or line end, its length.
+
+    The text is split there once and the lengths added up; no character is looked up by its position.
+    """
+    parts = F.split(c, r"(?<=\n)|(?<=[.!?。！？])(?=[ \n])", -1)
+    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("marks"))
+    step = lambda s, part: F.struct((s["at"] + F.length(part)).alias("at"), F.array_append(s["marks"], s["at"] + F.length(part)).alias("marks"))
+    return F.array_distinct(F.aggregate(parts, start, step, lambda s: s["marks"]))
 
 
 def escape_html(c: Column) -> Column:
@@ -167,11 +169,9 @@ def safe_file_name(c: Column, longest: int = 120) -> Column:
     return F.substring(F.regexp_replace(c, r"[^\p{L}\p{N}\-_.]", "_"), 1, longest)
 
 
-def strip_visual_commands(c: Column, passes: int = 4) -> Column:
-    """Bold, italic, roman and super- or subscript text commands give way to what they wrap, ``passes`` levels deep."""
-    for _ in range(passes):
-        c = F.regexp_replace(c, r"\\(textbf|textit|emph|mathrm|mathbf|mathit|textsubscript|textsuperscript)\{([^{}]*)\}", "$2")
-    return c
+def strip_visual_commands(c: Column) -> Column:
+    """Bold, italic, roman and super- or subscript text commands give way to what they wrap, however deep."""
+    return F.when(c.rlike(VISUAL), unwrap(F.when(c.rlike(VISUAL), c))).otherwise(c)
 
 
 def first_filled(*columns: Column) -> Column:

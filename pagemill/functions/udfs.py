@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import random
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,6 +26,21 @@ def html_unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+_WRAPPED = re.compile(r"\\(?:textbf|textit|emph|mathrm|mathbf|mathit|textsubscript|textsuperscript)\{([^{}]*)\}")
+
+
+def unwrapped(text: str) -> str:
+    """Without bold, italic, roman and super- or subscript text commands, however deep they are nested."""
+    while (bare := _WRAPPED.sub(r"\1", text)) != text:
+        text = bare
+    return text
+
+
+@F.pandas_udf(T.StringType())
+def unwrap(s: pd.Series) -> pd.Series:
+    return s.map(unwrapped, na_action="ignore")
+
+
 def stable_seed_of(*parts: object) -> int:
     """64 bits of BLAKE2b over the parts' text, joined by U+001F, little-endian."""
     digest = hashlib.blake2b("\x1f".join(map(str, parts)).encode("utf-8"), digest_size=8).digest()

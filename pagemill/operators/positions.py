@@ -16,9 +16,13 @@ _IN_TASK = 33  # bits of monotonically_increasing_id that count within a task
 
 
 def with_position(df: DataFrame, order: list[str | Column], out: str = "pos") -> DataFrame:
-    """Adds the row's position, from 0, in the order; one shuffle. Equal rows may take each other's places."""
-    by = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())
+    """Adds the row's position, from 0, in the order; one shuffle. Rows that the order leaves equal may take each other's places.
+
+    A hash of the row's place in the input is the last key, so that rows with one key, however many, are divided as well.
+    """
+    by = [*(F.col(c) if isinstance(c, str) else c for c in order), F.col("__tie")]
+    tied = df.withColumn("__tie", F.xxhash64(F.monotonically_increasing_id()))
+    ranged = tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("__tie").withColumn("__id", F.monotonically_increasing_id())
     numbered = materialize(ranged, "numbered")
     task = F.shiftright("__id", _IN_TASK)
     counts = numbered.groupBy(task.alias("__task")).agg(F.count("*").alias("__n"))  # a row for each task

@@ -178,8 +178,7 @@ def paragraph_chunks(spark, d):
 
 @query
 def safe_boundaries(spark, d):
-    b = X.safe_boundaries(F.col("text"))
-    return docs(spark, d).where("text is not null").select("doc_id", F.size(b).alias("n"), F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("position_sum"))
+    return docs(spark, d).where("text is not null").select("doc_id", X.safe_boundaries(F.col("text")).cast("array<bigint>").alias("positions"))
 
 
 @query
@@ -277,20 +276,20 @@ def preview_sample(spark, d):
 @query
 def shard_roll(spark, d):
     lines = docs(spark, d).where("text is not null").select(D.split_of(F.col("doc_id").cast("string"), 0.08, 0.08).alias("split"), "doc_id", "text")
-    return D.rolled_shards(lines, "text", "doc_id", 65_536).groupBy("split", "shard").agg(F.count("*").alias("n_rows"), F.sum("bytes").alias("bytes"))
+    return D.rolled_shards(lines, "text", "doc_id", 65_536).select("split", F.col("k").alias("doc_id"), "bytes", "shard")
 
 
 @query
 def epoch_shuffle(spark, d):
-    """A seeded order by SHA-256, the same in every engine; its first hundred."""
-    return docs(spark, d).select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":3:42")), 256).alias("place")).orderBy("place").limit(100)
+    """All documents in the seeded order of one epoch."""
+    return D.shuffled(docs(spark, d).select("doc_id"), "doc_id", 3)
 
 
 @query
 def epoch_order(spark, d):
-    """The whole seeded order by SHA-256: every document and its position, from 0."""
-    placed = docs(spark, d).select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":3:42")), 256).alias("place"))
-    return N.with_position(placed, ["place", "doc_id"]).select("doc_id", "pos")
+    """The orders of two epochs: the same documents, each order its own."""
+    first, second = (D.shuffled(docs(spark, d).select("doc_id"), "doc_id", e).withColumn("epoch", F.lit(e)) for e in (1, 2))
+    return first.unionByName(second).select("epoch", "doc_id", "pos")
 
 
 @query
@@ -298,13 +297,13 @@ def ratio_interleave(spark, d):
     """All documents and chats in one order, a fifth of which are chats as long as both last."""
     main = docs(spark, d).select(F.col("doc_id").alias("key"))
     other = table(spark, d, "chat_rows").select(F.col("chat_id").alias("key"))
-    return D.interleave(main, other, 0.2, "key").groupBy("origin").agg(F.count("*").alias("n"))
+    return N.with_position(D.interleave(main, other, 0.2, "key"), ["place", "key", "origin"]).select("origin", "key", "pos")
 
 
 @query
 def ratio_replace(spark, d):
     gone = D.replaced(F.col("doc_id").cast("string"), 0.25)
-    return docs(spark, d).groupBy(F.when(gone, "text").otherwise("image").alias("kind")).agg(F.count("*").alias("n"))
+    return docs(spark, d).select("doc_id", F.when(gone, "text").otherwise("image").alias("kind"))
 
 
 # -- blocks and pages --------------------------------------------------------------------------------------------
@@ -370,9 +369,9 @@ def page_markup(spark, d):
 
 @query
 def page_documents(spark, d):
-    """Whole HTML pages for a renderer: their digests."""
+    """Whole HTML pages for a renderer, and their digests."""
     html = P.page_html(F.col("blocks"), 1024, 512)
-    return pages(spark, d).where("blocks is not null").select("id", F.length(html).alias("n"), html.startswith("<!DOCTYPE html>").alias("whole")).distinct()
+    return pages(spark, d).where("blocks is not null").select("id", html.alias("html"), F.sha1(html.cast("binary")).alias("digest")).distinct()
 
 
 @query
@@ -462,9 +461,14 @@ def _sequences(spark, d) -> DataFrame:
 
 @query
 def task_sequences(spark, d):
-    seq = _sequences(spark, d)
-    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return seq.select("spec_id", F.size("ids").alias("n_ids"), S.label_count(F.col("labels")).alias("n_labels"), total(F.col("ids")).alias("id_sum"))
+    return _sequences(spark, d).select("spec_id", "ids", "labels")
+
+
+@query
+def pad_batches(spark, d):
+    """Batches of eight by spec_id: every row's padded ids, labels and mask."""
+    rows = N.with_position(_sequences(spark, d), ["spec_id"]).withColumn("batch", F.floor(F.col("pos") / 8).cast("int"))
+    return S.pad_batches(rows).select("spec_id", "batch", "input_ids", "padded_labels", "attention_mask")
 
 
 @query
@@ -491,27 +495,27 @@ def cpt_first_answer(spark, d):
 def image_answer_sequence(spark, d):
     rows = table(spark, d, "chat_rows").select("chat_id", S.first_answer(F.col("messages")).alias("caption"), "images").where("caption is not null and size(images) > 0")
     seq = S.image_answer(S.code_points(F.col("caption"), 1000), F.lit(64), 256)
-    return rows.select("chat_id", seq.alias("s")).where("s is not null").select("chat_id", F.size("s.ids").alias("n_ids"), S.label_count(F.col("s.labels")).alias("n_labels"))
+    return rows.select("chat_id", seq.alias("s")).where("s is not null").select("chat_id", "s.*")
 
 
 @query
 def chatml_sequence(spark, d):
     rows = table(spark, d, "chat_rows").select("chat_id", "messages", F.when(F.size("images") > 0, 64).otherwise(0).alias("nt"))
     seq = S.chat_sequence(F.col("messages"), F.col("nt"), lambda c: S.code_points(c, 1000))
-    return rows.select("chat_id", seq.alias("s")).select("chat_id", F.size("s.ids").alias("n_ids"), S.label_count(F.col("s.labels")).alias("n_labels"))
+    return rows.select("chat_id", seq.alias("s")).select("chat_id", "s.*")
 
 
 @query
 def text_only_sequence(spark, d):
     rows = docs(spark, d).select("doc_id", X.strip(F.col("text")).alias("text"))
     seq = S.text_sample(S.code_points(F.col("text"), 1000), F.col("text"), 512)
-    return rows.select("doc_id", seq.alias("s")).where("s is not null").select("doc_id", F.size("s.ids").alias("n_ids"), S.label_count(F.col("s.labels")).alias("n_labels"))
+    return rows.select("doc_id", seq.alias("s")).where("s is not null").select("doc_id", "s.*")
 
 
 @query
 def placeholder_expansion(spark, d):
     rows = table(spark, d, "chat_rows").select("chat_id", F.explode("messages").alias("m")).where("m.role = 'user' and m.content is not null")
-    return rows.select("chat_id", F.length(S.expand_placeholders(F.col("m.content"), F.array(F.lit(3)))).alias("n")).distinct()
+    return rows.select("chat_id", "m.content", S.expand_placeholders(F.col("m.content"), F.array(F.lit(3))).alias("expanded")).distinct()
 
 
 # -- vocabularies ------------------------------------------------------------------------------------------------
@@ -606,7 +610,7 @@ def font_stacks(spark, d):
 def bucket_batches(spark, d):
     c = L.canvas_size(F.col("content_w"), F.col("content_h"), *[F.lit(n) for n in (24, 24, 32, 32)])
     rows = _measured(spark, d).select("doc_id", c.alias("c")).select("doc_id", "c.grid_h", "c.grid_w")
-    return D.bucket_batches(rows, 4, "doc_id").groupBy("grid_h", "grid_w", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_doc"))
+    return D.bucket_batches(rows, 4, "doc_id").select("doc_id", "grid_h", "grid_w", "batch")
 
 
 # -- schedules ---------------------------------------------------------------------------------------------------
@@ -679,7 +683,7 @@ def scaling_efficiency(spark, d):
 
 @query
 def recycle_rows(spark, d):
-    return C.recycled(table(spark, d, "area_examples").select("example_id", "area"), 500, "example_id").groupBy("area").agg(F.count("*").alias("n"))
+    return C.recycled(table(spark, d, "area_examples").select("example_id", "area"), 500, "example_id").groupBy("example_id", "area").agg(F.count("*").alias("n"))
 
 
 @query

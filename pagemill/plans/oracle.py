@@ -1,9 +1,18 @@
-"""The catalogue's queries in DuckDB's SQL, written from the same definitions but independently of the Spark plans."""
+"""The catalogue's queries in DuckDB's SQL, written from the same definitions and independently of the Spark plans."""
 
 from __future__ import annotations
 
-from pagemill.functions.text import CJK, CURRENCY, MATH_COMMANDS, MATH_SUBJECTS, OPERATION, RISKY_TAG, STRONG_SYMBOLS, TAG
-from pagemill.functions.layout import HEIGHTS
+# Fixed values, written out here again so that a wrong one in the engine shows.
+TAG = r"</?[A-Za-z][^>]*>"
+RISKY_TAG = r"(?i)<(script|iframe|object|embed)\b"
+CURRENCY = r"(?i)^\s*[+-]?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)(\.[0-9]{1,2})?(\s*(USD|EUR|GBP|dollars?|euros?|pounds?|million|billion|trillion))?\s*$"
+STRONG_SYMBOLS = r"[_^={}≤≥∫∑√]"
+OPERATION = r"[A-Za-z0-9)\]}]\s*[+\-*/=<>]\s*[A-Za-z0-9({\[]"
+CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}]"
+MATH_COMMANDS = ("frac", "dfrac", "tfrac", "sqrt", "sum", "prod", "int", "iint", "iiint", "lim", "log", "ln", "sin", "cos", "tan", "alpha", "beta", "gamma", "delta", "theta", "lambda", "mu", "rho", "sigma", "omega",
+                 "partial", "nabla", "cdot", "times", "leq", "geq", "neq", "approx", "infty", "mathrm", "mathbf", "mathit", "text", "begin", "end")
+MATH_SUBJECTS = ("mathematics", "physics", "chemistry", "astronomy", "electricalengineering", "electrical engineering")
+HEIGHTS = (64, 96, 128, 192, 256, 320, 384, 448, 512)
 
 SP = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 MARK = "chr(57344)"  # a private character that stands between sentences
@@ -159,11 +168,12 @@ def _span(kind: str, tex: str) -> str:
 
 
 _row = f"'<tr>' || chr(10) || array_to_string(list_transform(r, lambda c: '<td>' || {esc("coalesce(c, '')")} || '</td>' || chr(10)), '') || '</tr>'"
-MARKUP = f"""array_to_string(list_transform(blocks, lambda b: CASE WHEN b.kind = 'paragraph' THEN '<p>' || array_to_string(list_transform(coalesce(b.parts, []),
+MARKUP_LIST = f"""list_transform(blocks, lambda b: CASE WHEN b.kind = 'paragraph' THEN '<p>' || array_to_string(list_transform(coalesce(b.parts, []),
  lambda p: CASE WHEN p.kind = 'math_inline' THEN {_span('inline', 'p.tex')} ELSE {esc("coalesce(p.text, '')")} END), '') || '</p>'
  WHEN b.kind = 'math_display' THEN '<div class="math-display-wrapper">' || {_span('display', 'b.tex')} || '</div>'
  WHEN b.kind = 'table' AND len(coalesce(b.rows, [])) > 0 THEN '<table><tbody>' || chr(10) || array_to_string(list_transform(b.rows, lambda r: {_row}), chr(10)) || chr(10) || '</tbody></table>'
- ELSE '' END), chr(10))"""
+ ELSE '' END)"""
+MARKUP = f"array_to_string({MARKUP_LIST}, chr(10))"
 
 IDS = "list_transform(string_split({x}, ''), lambda c: (unicode(c) % 1000)::BIGINT)"
 
@@ -177,7 +187,7 @@ SEQUENCES = f"""
 seqs AS (SELECT spec_id, task_type, CASE WHEN replay THEN []::BIGINT[] WHEN task_type IN ('optical_continuation', 'span_reconstruction') THEN list_concat({ids('prefix')}, {_image}) ELSE {_image} END AS ctx,
          list_concat({ids('answer')}, [1::BIGINT]) AS ans
          FROM (SELECT spec_id, task_type, coalesce(is_text_only, false) AS replay, coalesce(prefix_text, '') AS prefix, coalesce(target_text, '') AS answer FROM task_specs)),
-rows_ AS (SELECT spec_id, task_type, list_concat(ctx, ans)[1:1024] AS ids, greatest(0, least(len(ctx) + len(ans), 1024) - len(ctx)) AS n_labels FROM seqs)
+rows_ AS (SELECT spec_id, task_type, list_concat(ctx, ans)[1:1024] AS ids, list_concat(list_transform(ctx, lambda x: -100::BIGINT), ans)[1:1024] AS labels, greatest(0, least(len(ctx) + len(ans), 1024) - len(ctx)) AS n_labels FROM seqs)
 """
 
 CHARS = "chars AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE length(text) > 0) WHERE ch <> '' GROUP BY ch)"
@@ -194,17 +204,16 @@ BUCKETS = "[" + ", ".join(map(str, HEIGHTS)) + "]"
 def chat() -> str:
     asked = "trim(replace(replace(coalesce(m.content, ''), '<image>' || chr(10), ''), '<image>', ''))"
     said = "trim(coalesce(m.content, ''))"
-    n = lambda s: str(len(s))
-    end = n("<|im_end|>\n")
-    head = n("<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n")
+    lit = lambda t: ids(q(t).replace("\n", "' || chr(10) || '"))
+    hidden = lambda x: f"list_transform({x}, lambda i: -100::BIGINT)"
+    end, user, answer, head = (lit(t) for t in ("<|im_end|>\n", "<|im_start|>user\n", "<|im_start|>assistant\n", "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n"))
+    shown = f"list_concat({user}, CASE WHEN k = 1 AND nt > 0 THEN {_image} ELSE []::BIGINT[] END, {ids(asked)}, {end})"
     return f"""WITH turns AS (SELECT chat_id, CASE WHEN len(images) > 0 THEN 64 ELSE 0 END AS nt, messages FROM chat_rows),
     each AS (SELECT chat_id, nt, unnest(messages) AS m, generate_subscripts(messages, 1) AS k FROM turns),
-    sizes AS (SELECT chat_id, k, CASE WHEN m.role = 'user' AND {asked} <> '' THEN {n("<|im_start|>user" + chr(10))} + CASE WHEN k = 1 AND nt > 0 THEN nt + 2 ELSE 0 END + length({asked}) + {end}
-                              WHEN m.role = 'assistant' AND {said} <> '' THEN {n("<|im_start|>assistant" + chr(10))} + length({said}) + {end} ELSE 0 END AS n,
-                     CASE WHEN m.role = 'assistant' AND {said} <> '' THEN length({said}) ELSE 0 END AS learned FROM each),
-    placed AS (SELECT chat_id, n, learned, {head} + coalesce(sum(n) OVER (PARTITION BY chat_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {n("<|im_start|>assistant" + chr(10))} AS begins FROM sizes)
-    SELECT t.chat_id, least(4096, {head} + coalesce(sum(p.n), 0))::INTEGER AS n_ids, coalesce(sum(greatest(0, least(p.learned, 4096 - p.begins))), 0)::INTEGER AS n_labels
-    FROM turns t LEFT JOIN placed p USING (chat_id) GROUP BY t.chat_id"""
+    said AS (SELECT chat_id, k, CASE WHEN m.role = 'user' AND {asked} <> '' THEN {shown} WHEN m.role = 'assistant' AND {said} <> '' THEN list_concat({answer}, {ids(said)}, {end}) ELSE []::BIGINT[] END AS x,
+                    CASE WHEN m.role = 'user' AND {asked} <> '' THEN {hidden(shown)} WHEN m.role = 'assistant' AND {said} <> '' THEN list_concat({hidden(answer)}, {ids(said)}, {hidden(end)}) ELSE []::BIGINT[] END AS y FROM each),
+    joined AS (SELECT chat_id, flatten(list(x ORDER BY k)) AS x, flatten(list(y ORDER BY k)) AS y FROM said GROUP BY chat_id)
+    SELECT t.chat_id, list_concat({head}, coalesce(x, []::BIGINT[]))[1:4096] AS ids, list_concat({hidden(head)}, coalesce(y, []::BIGINT[]))[1:4096] AS labels FROM turns t LEFT JOIN joined USING (chat_id)"""
 
 
 _SIMPLE_SPLIT = split("doc_id::VARCHAR")
@@ -252,7 +261,7 @@ SQL: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, {normalize('text', nfc=True)} AS text_norm FROM documents",
     "whitespace_normalize": f"SELECT doc_id, {strip(sub(unix(sub('text', r'[ \t\x{a0}]+', ' ')), r'\n{4,}', chr(10) * 3))} AS text_norm FROM documents",
     "unicode_nfc": "SELECT doc_id, nfc_normalize(text) AS nfc_text FROM documents",
-    "unicode_issues": f"SELECT doc_id, {matches('text', r'[\x{FFFD}\p{Co}]')} AS has_issues, {matches('text', CJK.replace(chr(92) + 'u', chr(92) + 'x').replace('4E00', '{4E00}').replace('9FFF', '{9FFF}').replace('3400', '{3400}').replace('4DBF', '{4DBF}').replace('F900', '{F900}').replace('FAFF', '{FAFF}').replace('3040', '{3040}').replace('309F', '{309F}').replace('30A0', '{30A0}').replace('30FF', '{30FF}').replace('AC00', '{AC00}').replace('D7AF', '{D7AF}'))} AS has_cjk FROM documents WHERE text IS NOT NULL",
+    "unicode_issues": f"SELECT doc_id, {matches('text', r'[\x{FFFD}\p{Co}]')} AS has_issues, {matches('text', CJK)} AS has_cjk FROM documents WHERE text IS NOT NULL",
     "html_flags": f"SELECT doc_id, {matches('text', TAG)} AS has_html, {matches('text', RISKY_TAG)} AS risky FROM documents WHERE text IS NOT NULL",
     "strip_html": f"SELECT doc_id, {strip(sub('text', '<[^>]+>', ' '))} AS visible FROM documents",
     "escape_html": f"SELECT doc_id, {esc('text')} AS escaped FROM documents",
@@ -261,7 +270,7 @@ SQL: dict[str, str] = {
     "sentence_split": f"SELECT doc_id, (generate_subscripts(s, 1) - 1)::INTEGER AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {sentences('text')} AS s FROM documents WHERE text IS NOT NULL)",
     "paragraph_split": f"SELECT doc_id, (generate_subscripts(s, 1) - 1)::INTEGER AS pos, unnest(s) AS paragraph FROM (SELECT doc_id, {paragraphs(unix('text'))} AS s FROM documents WHERE text IS NOT NULL)",
     "paragraph_chunks": f"WITH {CHUNKS} SELECT doc_id, (generate_subscripts(chunks, 1) - 1)::INTEGER AS pos, unnest(chunks) AS chunk FROM chunked",
-    "safe_boundaries": f"SELECT doc_id, len(b)::INTEGER AS n, list_sum(b)::BIGINT AS position_sum FROM (SELECT doc_id, {boundaries('text')} AS b FROM documents WHERE text IS NOT NULL)",
+    "safe_boundaries": f"SELECT doc_id, {boundaries('text')} AS positions FROM documents WHERE text IS NOT NULL",
     "inline_math_test": f"""WITH p AS (SELECT id, unnest(b.parts) AS p FROM (SELECT id, unnest(blocks) AS b FROM page_records)), x AS (SELECT DISTINCT id, p.tex AS tex, {strip('p.tex')} AS i FROM p WHERE p.tex IS NOT NULL)
         SELECT id, tex, i <> '' AND NOT contains(i, chr(10)) AND length(i) <= 256 AND NOT {matches('i', _price)} AND ({matches('i', _command)} OR {matches('i', STRONG_SYMBOLS)} OR {matches('i', OPERATION)}) AS math, {matches('tex', _price)} AS price FROM x""",
     "math_subjects": f"SELECT coalesce(lower({strip('subject')}) IN ({', '.join(map(q, MATH_SUBJECTS))}), false) AS math_subject, count(*) AS n FROM page_records GROUP BY 1",
@@ -277,19 +286,24 @@ SQL: dict[str, str] = {
         SELECT count(*) AS documents, count(*) FILTER (tidy = '') AS empty, (count(*) FILTER (tidy <> '') - count(DISTINCT tidy) FILTER (tidy <> ''))::BIGINT AS copies, count(*) FILTER (tidy <> '' AND {matches('text', RISKY_TAG)}) AS risky FROM t""",
     "shard_round_robin": "SELECT ((k - 1) % 4)::INTEGER AS shard, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY doc_id) AS k FROM documents) GROUP BY 1",
     "shard_roll": f"""WITH RECURSIVE s AS (SELECT {_SIMPLE_SPLIT} AS split, doc_id, strlen(text) AS b FROM documents WHERE text IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS k FROM s),
-        r AS (SELECT split, k, b, 0 AS shard, b AS used FROM o WHERE k = 1 UNION ALL
-              SELECT o.split, o.k, o.b, r.shard + (r.used > 0 AND r.used + o.b > 65536)::INTEGER, CASE WHEN r.used > 0 AND r.used + o.b > 65536 THEN o.b ELSE r.used + o.b END FROM r JOIN o ON o.split = r.split AND o.k = r.k + 1)
-        SELECT split, shard, count(*) AS n_rows, sum(b)::BIGINT AS bytes FROM r GROUP BY split, shard""",
-    "epoch_shuffle": "SELECT doc_id, sha256(doc_id || ':3:42') AS place FROM documents ORDER BY place LIMIT 100",
-    "epoch_order": "SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id || ':3:42') NULLS FIRST, doc_id NULLS FIRST) - 1 AS pos FROM documents",
-    "ratio_interleave": "SELECT 'main' AS origin, count(*) AS n FROM documents UNION ALL SELECT 'other', count(*) FROM chat_rows",
-    "ratio_replace": f"SELECT CASE WHEN {u60('doc_id::VARCHAR', 7)} < {int(0.25 * (1 << 60))} THEN 'text' ELSE 'image' END AS kind, count(*) AS n FROM documents GROUP BY 1",
+        r AS (SELECT split, k, doc_id, b, 0 AS shard, b AS used FROM o WHERE k = 1 UNION ALL
+              SELECT o.split, o.k, o.doc_id, o.b, r.shard + (r.used > 0 AND r.used + o.b > 65536)::INTEGER, CASE WHEN r.used > 0 AND r.used + o.b > 65536 THEN o.b ELSE r.used + o.b END FROM r JOIN o ON o.split = r.split AND o.k = r.k + 1)
+        SELECT split, doc_id, b::INTEGER AS bytes, shard FROM r""",
+    "epoch_shuffle": "SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id || ':3:42') NULLS FIRST, doc_id NULLS FIRST) - 1 AS pos FROM documents",
+    "epoch_order": "SELECT e::INTEGER AS epoch, doc_id, row_number() OVER (PARTITION BY e ORDER BY sha256(doc_id || ':' || e || ':42') NULLS FIRST, doc_id NULLS FIRST) - 1 AS pos FROM documents, (SELECT unnest([1, 2]) AS e)",
+    "ratio_interleave": f"""WITH n AS (SELECT greatest(1.0::DOUBLE, (SELECT count(*) FROM chat_rows) / ((SELECT count(*) FROM documents) * 0.2::DOUBLE / 0.8::DOUBLE)) AS scale),
+        both_ AS (SELECT 'main' AS origin, doc_id AS key, {u60('doc_id::VARCHAR', 'main7')}::DOUBLE / {1 << 60}::DOUBLE AS place FROM documents
+                  UNION ALL SELECT 'other', chat_id, {u60('chat_id::VARCHAR', 'other7')}::DOUBLE / {1 << 60}::DOUBLE * scale FROM chat_rows, n)
+        SELECT origin, key, row_number() OVER (ORDER BY place, key, origin) - 1 AS pos FROM both_""",
+    "ratio_replace": f"SELECT doc_id, CASE WHEN {u60('doc_id::VARCHAR', 7)} < {int(0.25 * (1 << 60))} THEN 'text' ELSE 'image' END AS kind FROM documents",
     "block_targets": f"""WITH b AS (SELECT id, unnest(blocks) AS b, (generate_subscripts(blocks, 1) - 1)::INTEGER AS pos FROM page_records), t AS (SELECT id, pos, b, {block_target('b')} AS target FROM b)
         SELECT DISTINCT id, pos, b.kind AS kind, target, (CASE b.kind WHEN 'paragraph' THEN greatest(1, length(target)) WHEN 'math_display' THEN greatest(140, floor(length(coalesce(b.tex, ''))::DOUBLE * 1.7::DOUBLE))
         WHEN 'table' THEN greatest(180, coalesce(len(b.rows), 0) * 85) ELSE 50 END)::INTEGER AS cost FROM t""",
     "page_targets": f"SELECT DISTINCT id, {JOINED} AS target FROM page_records WHERE blocks IS NOT NULL",
     "page_flags": f"SELECT DISTINCT id, {BLOCK_FLAGS} AS flags, {flags('target')} AS text_flags FROM (SELECT id, blocks, {JOINED} AS target FROM page_records WHERE blocks IS NOT NULL)",
     "pack_pages": f"WITH {CHUNKS}, {PACK} SELECT doc_id, page, count(*) AS n_blocks, sum(greatest(1, length(chunk)))::BIGINT AS cost FROM packed GROUP BY doc_id, page",
+    "page_documents": f"""WITH h AS (SELECT id, '<!DOCTYPE html><html><head><meta charset="utf-8"><style>body{{width:1024px;height:512px;margin:0}}</style></head><body>' || array_to_string(list_filter({MARKUP_LIST}, lambda h: h <> ''), chr(10)) || '</body></html>' AS html
+        FROM page_records WHERE blocks IS NOT NULL) SELECT DISTINCT id, html, sha1(html) AS digest FROM h""",
     "page_markup": f"SELECT DISTINCT id, {MARKUP} AS html, sha1({MARKUP}) AS digest FROM page_records WHERE blocks IS NOT NULL",
     "compact_json": "SELECT DISTINCT id AS i, target_text AS t, coalesce(subject, '') AS s, coalesce(flags, 0)::INTEGER AS f FROM page_records WHERE target_text <> ''",
     "page_manifest": "SELECT DISTINCT id, sha1(target_text) AS sha1 FROM page_records WHERE length(target_text) >= 20",
@@ -298,16 +312,19 @@ SQL: dict[str, str] = {
     "task_source_text": "SELECT spec_id, coalesce(prefix_text, '') || coalesce(visual_text, '') || coalesce(suffix_text, '') AS source_text FROM task_specs",
     "continuation_lengths": f"""WITH b AS (SELECT doc_id, text, {boundaries('text')} AS b FROM documents WHERE length(text) >= 100), s AS (SELECT doc_id, text, b[2] AS a, coalesce(list_min(list_filter(b[3:], lambda x: x - b[2] >= 300)), list_max(b)) AS e FROM b WHERE len(b) >= 3)
         SELECT doc_id, length({strip('substr(text, 1, a)')})::INTEGER AS prefix_len, length({strip('substr(text, a + 1, e - a)')})::INTEGER AS visual_len, length({strip('substr(text, e + 1)')})::INTEGER AS suffix_len FROM s""",
-    "task_sequences": f"WITH {SEQUENCES} SELECT spec_id, len(ids)::INTEGER AS n_ids, n_labels::INTEGER AS n_labels, list_sum(ids)::BIGINT AS id_sum FROM rows_",
+    "task_sequences": f"WITH {SEQUENCES} SELECT spec_id, ids, labels FROM rows_",
     "vision_alignment": f"WITH {SEQUENCES} SELECT task_type, len(list_filter(ids, lambda x: x = 7)) = 64 AS aligned, count(*) AS n FROM rows_ GROUP BY 1, 2",
     "pad_batch_stats": f"""WITH {SEQUENCES}, b AS (SELECT *, ((row_number() OVER (ORDER BY spec_id) - 1) // 8)::INTEGER AS batch FROM rows_)
         SELECT batch, max(len(ids))::INTEGER AS max_len, (max(len(ids)) * count(*) - sum(len(ids)))::BIGINT AS padding, sum(len(ids))::BIGINT AS n_tokens, sum(n_labels)::BIGINT AS n_labels FROM b GROUP BY batch""",
+    "pad_batches": f"""WITH {SEQUENCES}, b AS (SELECT *, ((row_number() OVER (ORDER BY spec_id) - 1) // 8)::INTEGER AS batch FROM rows_), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) - len(ids) AS short FROM b)
+        SELECT spec_id, batch, list_concat(ids, list_transform(range(short), lambda i: 0::BIGINT)) AS input_ids, list_concat(labels, list_transform(range(short), lambda i: -100::BIGINT)) AS padded_labels,
+        list_concat(list_transform(ids, lambda i: 1::BIGINT), list_transform(range(short), lambda i: 0::BIGINT)) AS attention_mask FROM m""",
     "cpt_first_answer": "SELECT chat_id, nullif(trim(list_filter(messages, lambda m: m.role = 'assistant')[1].content), '') AS caption, coalesce(len(images) > 0, false) AS has_image FROM chat_rows",
-    "image_answer_sequence": """SELECT chat_id, (66 + least(length(c), 189) + 1)::INTEGER AS n_ids, (least(length(c), 189) + 1)::INTEGER AS n_labels
-        FROM (SELECT chat_id, images, nullif(trim(list_filter(messages, lambda m: m.role = 'assistant')[1].content), '') AS c FROM chat_rows) WHERE c IS NOT NULL AND len(images) > 0""",
+    "image_answer_sequence": f"""WITH c AS (SELECT chat_id, images, nullif(trim(list_filter(messages, lambda m: m.role = 'assistant')[1].content), '') AS c FROM chat_rows), a AS (SELECT chat_id, list_concat({ids('substr(c, 1, 189)')}, [1::BIGINT]) AS a FROM c WHERE c IS NOT NULL AND len(images) > 0)
+        SELECT chat_id, list_concat({_image}, a) AS ids, list_concat(list_transform({_image}, lambda x: -100::BIGINT), a) AS labels FROM a""",
     "chatml_sequence": chat(),
-    "text_only_sequence": f"SELECT doc_id, (least(length(t), 511) + 1)::INTEGER AS n_ids, (least(length(t), 511) + 1)::INTEGER AS n_labels FROM (SELECT doc_id, {strip('text')} AS t FROM documents) WHERE length(t) >= 20",
-    "placeholder_expansion": """SELECT DISTINCT chat_id, CASE WHEN (length(m.content) - length(replace(m.content, '<image>', ''))) // 7 = 1 THEN (length(m.content) + 14)::INTEGER END AS n
+    "text_only_sequence": f"WITH t AS (SELECT doc_id, {strip('text')} AS t FROM documents) SELECT doc_id, list_concat({ids('t')}[1:511], [1::BIGINT]) AS ids, list_concat({ids('t')}[1:511], [1::BIGINT]) AS labels FROM t WHERE length(t) >= 20",
+    "placeholder_expansion": """SELECT DISTINCT chat_id, m.content AS content, CASE WHEN (length(m.content) - length(replace(m.content, '<image>', ''))) // 7 = 1 THEN replace(m.content, '<image>', '<image><image><image>') END AS expanded
         FROM (SELECT chat_id, unnest(messages) AS m FROM chat_rows) WHERE m.role = 'user' AND m.content IS NOT NULL""",
     "doc_to_vocab": f"WITH {CHARS} SELECT ch, n FROM chars",
     "vocab_new_chars": f"WITH {CHARS}, {VOCAB} SELECT ch, n FROM chars WHERE ch NOT IN (SELECT token FROM vocab)",
@@ -330,7 +347,7 @@ SQL: dict[str, str] = {
     "font_stacks": r"""SELECT '"Times New Roman"' || CASE WHEN regexp_matches(text, '[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}]') THEN ', "Noto Sans CJK SC"' ELSE '' END || ', serif' AS stack, count(*) AS n
         FROM documents WHERE text IS NOT NULL GROUP BY 1""",
     "bucket_batches": f"""WITH {MEASURED}, {CANVAS}, o AS (SELECT doc_id, height // 32 AS grid_h, width // 32 AS grid_w FROM canvas),
-        k AS (SELECT *, ((row_number() OVER (PARTITION BY grid_h, grid_w ORDER BY sha256(doc_id || ':42'), doc_id) - 1) // 4)::INTEGER AS batch FROM o) SELECT grid_h, grid_w, batch, count(*) AS n, min(doc_id) AS least_doc FROM k GROUP BY 1, 2, 3""",
+        k AS (SELECT *, ((row_number() OVER (PARTITION BY grid_h, grid_w ORDER BY sha256(doc_id || ':42'), doc_id) - 1) // 4)::INTEGER AS batch FROM o) SELECT doc_id, grid_h, grid_w, batch FROM k""",
     "lr_schedule": """SELECT step, round(CASE WHEN step < 100 THEN greatest(1e-8, step / 100.0::DOUBLE) ELSE greatest(0.1::DOUBLE, 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (step - 100) / 900.0::DOUBLE)))) END, 9) AS cosine,
         round(CASE WHEN step < 100 THEN greatest(1e-8, step / 100.0::DOUBLE) ELSE greatest(0.1::DOUBLE, 1 - (step - 100) / 900.0::DOUBLE) END, 9) AS linear,
         round(CASE WHEN step < 100 THEN greatest(1e-8, step / 100.0::DOUBLE) ELSE 1.0::DOUBLE END, 9) AS "constant" FROM (SELECT unnest(range(1001)) AS step)""",
@@ -347,7 +364,7 @@ SQL: dict[str, str] = {
     "stage_throughput": "SELECT event_type, round(1000.0 / avg(value), 6) AS samples_per_s FROM events WHERE value > 0 GROUP BY event_type",
     "scaling_efficiency": """WITH r AS (SELECT user_id % 8 + 1 AS workers, count(*)::DOUBLE AS t FROM events GROUP BY 1)
         SELECT workers, round(t / first_value(t) OVER (ORDER BY workers), 9) AS speedup, round(t * first_value(workers) OVER (ORDER BY workers) / (first_value(t) OVER (ORDER BY workers) * workers), 9) AS efficiency FROM r""",
-    "recycle_rows": "SELECT area, count(*) AS n FROM (SELECT area FROM area_examples, (SELECT unnest(range(500)) AS r) ORDER BY r, example_id LIMIT 500) GROUP BY area",
+    "recycle_rows": "SELECT example_id, area, count(*) AS n FROM (SELECT example_id, area FROM area_examples, (SELECT unnest(range(500)) AS r) ORDER BY r, example_id LIMIT 500) GROUP BY example_id, area",
     "retention": "SELECT doc_id FROM documents WHERE added_at IS NOT NULL ORDER BY doc_id DESC LIMIT 5",
     "stream_dedup": f"SELECT count(DISTINCT sha1) AS n, count(DISTINCT sha1) AS n_distinct FROM (SELECT sha1({normalize('text')}) AS sha1 FROM documents WHERE length(text) > 0)",
     "compact_pages": f"""WITH {CHUNKS_NFC}, {PACK}, p AS (SELECT doc_id, any_value(subject) AS subject, page, {strip('array_to_string(list(chunk ORDER BY k), chr(10))')} AS t FROM packed GROUP BY doc_id, page)

@@ -12,8 +12,8 @@ def write_shards(pages: DataFrame, path: str, split: str = "split", most_rows: i
 
 
 def write_rolled(lines: DataFrame, path: str, line: str = "line") -> None:
-    """Lines with split, lane and shard (of ``rolled_shards``) as one folder for each shard, their order kept."""
-    keys = ["split", "lane", "shard"]
+    """Lines with split, shard and their order k (of ``rolled_shards``) as one folder for each shard, their order kept."""
+    keys = ["split", "shard"]
     lines.repartition(*keys).sortWithinPartitions(*keys, "k").select(*keys, F.col(line).alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
 
 

@@ -36,8 +36,33 @@ def test_rolled_shards(spark):
     df = spark.createDataFrame([("train", k, "x" * n) for k, n in enumerate([5, 5, 5, 30, 1, 9, 2])], "split string, k int, line string")
     got = [r.shard for r in D.rolled_shards(df, "line", "k", 10).orderBy("k").collect()]
     assert got == [0, 0, 1, 2, 3, 3, 4]
-    lanes = D.rolled_shards(df, "line", "k", 10, lane_rows=3).orderBy("k").collect()
-    assert [(r.lane, r.shard) for r in lanes] == [(0, 0), (0, 0), (0, 1), (1, 0), (1, 1), (1, 1), (2, 0)]
+
+
+@pytest.mark.parametrize("most,lane", [(10, 1), (10, 3), (25, 7), (60, 4), (10, 1000)])
+def test_lanes_roll_like_one_fold(spark, most, lane):
+    rnd = random.Random(most * lane)
+    rows = [(k, rnd.choice(["a", None]), "x" * rnd.choice([0, 0, 1, 3, 5, 9, 12, 30])) for k in range(140)]
+    want = {}
+    for g in ("a", None):
+        used = shard = 0
+        for k, own, line in rows:
+            if own == g:
+                if used and used + len(line) > most:
+                    used, shard = 0, shard + 1
+                used += len(line)
+                want[k] = g, shard
+    got = D.rolled_shards(spark.createDataFrame(rows, "k int, split string, line string"), "line", "k", most, lane_rows=lane).collect()
+    assert {r.k: (r.split, r.shard) for r in got} == want and len(got) == len(rows)
+
+
+def test_ties_are_divided(spark):
+    df = spark.range(4000).selectExpr("id", "1 AS v")
+    placed = N.with_position(df, ["v"])
+    assert sorted(r.pos for r in placed.collect()) == list(range(4000))
+    from pagemill.operators.positions import _IN_TASK
+
+    parts = df.withColumn("__tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(4, "v", "__tie").groupBy(F.spark_partition_id()).count().collect()
+    assert _IN_TASK == 33 and len(parts) == 4 and max(r["count"] for r in parts) < 2500
 
 
 def test_positions(spark):
@@ -64,7 +89,7 @@ def test_batches(spark):
 
 def test_interleave_keeps_all(spark):
     a, b = spark.range(90).withColumnRenamed("id", "k"), spark.range(1000, 1010).withColumnRenamed("id", "k")
-    rows = [r.origin for r in D.interleave(a, b, 0.1, "k").collect()]
+    rows = [r.origin for r in D.interleave(a, b, 0.1, "k").orderBy("place", "k").collect()]
     assert rows.count("main") == 90 and rows.count("other") == 10 and "other" in rows[:50]
     assert D.interleave(a, b.where("false"), 0.1, "k").count() == 90
 

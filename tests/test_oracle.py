@@ -56,7 +56,10 @@ def test_runs(spark, data, name):
 def test_epoch_order_is_whole(spark, tmp_path):
     spark.range(250).selectExpr("id AS doc_id", "'x' AS text").write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["epoch_order"](spark, str(tmp_path)).collect()
-    assert sorted(r.pos for r in got) == list(range(250)) == sorted(r.doc_id for r in got)
+    for epoch in (1, 2):
+        mine = [r for r in got if r.epoch == epoch]
+        assert sorted(r.pos for r in mine) == list(range(250)) == sorted(r.doc_id for r in mine)
+    assert {r.doc_id: r.pos for r in got if r.epoch == 1} != {r.doc_id: r.pos for r in got if r.epoch == 2}
 
 
 def test_contract():
