@@ -71,6 +71,50 @@ def raw_scan_fail_file(spark, d):
     return R.parsed(table(spark, d, "raw_records"), policy="fail_file").groupBy("source_file").agg(F.count("*").alias("n"), F.max("line_no").alias("last_line"))
 
 
+@query
+def raw_scan_objects(spark, d):
+    """Values that are no objects come as the text of one, whichever type they have."""
+    rows = R.parsed(table(spark, d, "raw_records").unionByName(spark.createDataFrame([("made", 1, '"only words"'), ("made", 2, "17"), ("made", 3, '["a", "b"]'), ("made", 4, '{"text": "x"}'), ("made", 5, "{bad")], "source_file string, line_no bigint, line string")))
+    return rows.select("source_file", "line_no", F.try_variant_get(R.as_object(F.col("record")), "$.text", "string").alias("text"))
+
+
+@query
+def compact_rejects(spark, d):
+    """Lines of compact pages among raw ones: malformed lines and those without a text are counted."""
+    lines = K.as_json(pages(spark, d).select(F.col("id").alias("i"), F.col("target_text").alias("t")), "i", "t").select(F.lit("pages").alias("source_file"), F.lit(0).cast("bigint").alias("line_no"), "line")
+    rows = R.parsed(lines.unionByName(table(spark, d, "raw_records")), policy="count", required="t")
+    return rows.groupBy("source_file", F.coalesce("reject_reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def file_lines(spark, d):
+    """Raw lines written as compressed and as plain text, found by patterns and read back."""
+    base = work_path(spark, "lines")
+    lines = table(spark, d, "raw_records").where("line not like '%\r%'").select("line")
+    lines.write.option("compression", "gzip").text(f"{base}/a")
+    lines.write.text(f"{base}/b")
+    found = R.resolved(spark, [f"{base}/*", f"{base}/a"])
+    return R.read_lines(spark, found).groupBy(F.element_at(F.split("source_file", "/"), -2).alias("folder"), F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query
+def row_estimate(spark, d):
+    """Rows of a text file by the density of its line ends; exact within the sample."""
+    path = work_path(spark, "estimate")
+    table(spark, d, "raw_records").where("line not like '%\r%'").select("line").coalesce(1).write.text(path)
+    return spark.createDataFrame([(R.estimated_rows(spark, path),)], "n bigint")
+
+
+@query
+def whole_json(spark, d):
+    """Files that are one JSON value each: the records in their container."""
+    path = work_path(spark, "whole")
+    good = R.parsed(table(spark, d, "raw_records")).groupBy(F.md5("source_file").alias("file")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    good.select("file", F.concat(F.lit('{"note": 1, "records": ['), F.array_join("x.line", ", "), F.lit("]}")).alias("value")).write.partitionBy("file").text(path)
+    rows = R.exploded(spark, path)
+    return rows.select(F.regexp_extract("source_file", "file=([0-9a-f]+)", 1).alias("file"), "record_index", F.try_variant_get("record", "$.text", "string").alias("text"))
+
+
 @query
 def pick_fields(spark, d):
     return R.picked(R.parsed(table(spark, d, "raw_records"))).select("source_file", "line_no", "text", "subject", "doc_id")
@@ -251,6 +295,31 @@ def ingest_counters(spark, d):
     return each.agg(F.sum("n").alias("documents"), (F.sum("n") - F.sum("filled")).alias("empty"), F.sum(F.greatest(F.col("filled") - 1, F.lit(0))).alias("copies"), F.sum("risky").alias("risky"))
 
 
+@query
+def build_counters(spark, d):
+    """What the building of pages from documents counts: documents, copies, empty ones, pages by kind and split."""
+    tidy = D.with_digest(docs(spark, d).select("doc_id", "subject", "text", X.normalize(F.col("text"), composed=False).alias("tidy")), "tidy")
+    each = tidy.groupBy("sha1").agg(F.count("*").alias("n"), F.count_if(F.col("tidy") != "").alias("filled"))
+    seen = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("docs_seen"), F.coalesce(F.sum("filled"), F.lit(0)).alias("filled"), F.count_if(F.col("filled") > 0).alias("docs_processed"))
+    kept = D.first_copies(tidy.where("tidy <> ''").select("doc_id", "sha1"), ["doc_id"]).select("doc_id")
+    made = P.plain_pages(docs(spark, d).select("doc_id", "subject", "text").join(kept, "doc_id", "left_semi"))
+    split = D.split_of(F.regexp_extract("i", "^(.+)-p[0-9]+$", 1), 0.08, 0.08)
+    flag = lambda k: F.count_if(F.col("f").bitwiseAND(k) > 0)
+    paged = made.withColumn("split", split).agg(F.count("*").alias("pages"), *[F.count_if(F.col("split") == x).alias(f"pages_{x}") for x in ("train", "val", "test")], flag(1).alias("math_pages"), flag(2).alias("table_pages"), F.count_if(F.length("t") < 20).alias("short_pages"))
+    both = seen.crossJoin(F.broadcast(paged))  # one row each
+    return both.select("docs_seen", (F.col("docs_seen") - F.col("filled")).alias("empty"), (F.col("filled") - F.col("docs_processed")).alias("dedup_skipped"), "docs_processed", *paged.columns)
+
+
+@query
+def split_folders(spark, d):
+    """Full page records as JSON lines in a folder for each split, read back."""
+    path = work_path(spark, "folders")
+    rows = pages(spark, d).where("split is not null").select("id", "doc_id", "page_index", "subject", "blocks", "target_text", "has_math", "has_table", "flags", "split")
+    K.write_shards(rows, path, most_rows=1000)
+    back = spark.read.schema(rows.schema).json(path)
+    return back.select("id", "doc_id", "page_index", "subject", F.size("blocks").alias("n_blocks"), F.sha1(P.join_targets(F.col("blocks")).cast("binary")).alias("blocks_sha1"), "target_text", "has_math", "has_table", "flags", "split").distinct()
+
+
 @query
 def shard_round_robin(spark, d):
     """The k-th document by id goes to shard k mod 4."""
@@ -532,6 +601,14 @@ def _vocabulary(spark, d) -> DataFrame:
     return found.select(F.col("ch").alias("token"), (F.row_number().over(Window.orderBy(F.desc("n"), "ch")) - 1).cast("int").alias("id"))
 
 
+@query
+def vocabulary_file(spark, d):
+    """A vocabulary written as one token a line and read back: the same ids."""
+    path = work_path(spark, "vocabulary")
+    K.write_vocabulary(_vocabulary(spark, d), path)
+    return V.from_lines(spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()))
+
+
 @query
 def vocab_new_chars(spark, d):
     return V.new_characters(V.characters(docs(spark, d)), _vocabulary(spark, d)).select("ch", "n")
@@ -691,6 +768,18 @@ def retention(spark, d):
     return K.keep_last(docs(spark, d).select("doc_id", "added_at").where("added_at is not null"), "doc_id", 5).select("doc_id")
 
 
+@query
+def parse_cases(spark, d):
+    """Fixed texts of every form through the parser: kinds and targets of the blocks. The SQL holds results worked out by hand."""
+    cases = [
+        "One.\n\nTwo $x=1$ costs $5.", "A\n$$a+b$$\nB \\(c\\)", "\\begin{align*}x\\end{align*}", "[latex]y^2[/latex] tail", "| a | b |\n|---|---|\n| 1 | 2 |\nafter", "<p>One <b>two</b></p><table><tr><td>a</td><td>b</td></tr></table>",
+        "<div>only &amp; text</div>", "\\textbf{bold \\emph{in}} out", "price $10 and $20", "a | b\nno rule", "", "\\[x\\] \\[y\\]",
+    ]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "doc_id int, text string").withColumn("subject", F.lit(None).cast("string"))
+    found = P.document_blocks(rows, guarded=True).select("doc_id", F.posexplode("blocks").alias("pos", "b"))
+    return found.select("doc_id", "pos", F.col("b.kind").alias("kind"), P.block_target(F.col("b")).alias("target"))
+
+
 # -- streams -----------------------------------------------------------------------------------------------------
 
 
@@ -703,3 +792,13 @@ def stream_dedup(spark, d):
     base = work_path(spark, "stream")
     I.ingest(stream.select("doc_id", "sha1"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("n"), F.count_distinct("sha1").alias("n_distinct"))
+
+
+@query
+def stream_windows(spark, d):
+    """Events as a stream: counts of each type and day that are final, an hour for late ones."""
+    schema = table(spark, d, "events").schema
+    stream = I.document_stream(spark, os.path.join(d, "event[s].parquet"), schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    base = work_path(spark, "windows")
+    I.ingest(I.counted_by_window(stream, "ts", "event_type"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.col("window.start").cast("date").alias("day"), "event_type", "n")

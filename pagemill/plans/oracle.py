@@ -369,4 +369,24 @@ SQL: dict[str, str] = {
     "stream_dedup": f"SELECT count(DISTINCT sha1) AS n, count(DISTINCT sha1) AS n_distinct FROM (SELECT sha1({normalize('text')}) AS sha1 FROM documents WHERE length(text) > 0)",
     "compact_pages": f"""WITH {CHUNKS_NFC}, {PACK}, p AS (SELECT doc_id, any_value(subject) AS subject, page, {strip('array_to_string(list(chunk ORDER BY k), chr(10))')} AS t FROM packed GROUP BY doc_id, page)
         SELECT doc_id || '-p' || lpad(page::VARCHAR, 5, '0') AS i, t, coalesce(subject, '') AS s, {flags('t')} AS f FROM p WHERE t <> ''""",
+    "raw_scan_objects": f"""WITH {LINES}, made(source_file, line_no, text) AS (VALUES ('made', 1, 'only words'), ('made', 2, '17'), ('made', 3, '["a","b"]'), ('made', 4, 'x')),
+        good AS (SELECT source_file, line_no, line::JSON AS j FROM lines WHERE json_valid(line))
+        SELECT source_file, line_no, CASE json_type(j) WHEN 'OBJECT' THEN json_extract(j, '$.text') ->> '$' ELSE j ->> '$' END AS text FROM good UNION ALL SELECT source_file, line_no::BIGINT, text FROM made""",
+    "compact_rejects": f"""WITH {LINES} SELECT 'pages' AS source_file, CASE WHEN coalesce(target_text, '') = '' THEN 'empty' ELSE 'ok' END AS reason, count(*) AS n FROM page_records GROUP BY 1, 2
+        UNION ALL SELECT source_file, CASE WHEN NOT json_valid(line) THEN 'malformed' WHEN coalesce(json_extract(CASE WHEN json_valid(line) THEN line END, '$.t') ->> '$', '') = '' THEN 'empty' ELSE 'ok' END, count(*) FROM lines GROUP BY 1, 2""",
+    "file_lines": "SELECT folder, line, count(*) AS n FROM raw_records, (SELECT unnest(['a', 'b']) AS folder) WHERE NOT contains(line, chr(13)) GROUP BY 1, 2",
+    "row_estimate": "SELECT count(*) AS n FROM raw_records WHERE NOT contains(line, chr(13))",
+    "whole_json": f"""WITH {LINES}, good AS (SELECT source_file, line_no, line::JSON AS j FROM lines WHERE json_valid(line))
+        SELECT md5(source_file) AS file, (row_number() OVER (PARTITION BY source_file ORDER BY line_no, j::VARCHAR) - 1)::INTEGER AS record_index, CASE WHEN json_type(j) = 'OBJECT' THEN json_extract(j, '$.text') ->> '$' END AS text FROM good""",
+    "vocabulary_file": f"WITH {VOCAB} SELECT token, id FROM vocab",
+    "split_folders": f"SELECT DISTINCT id, doc_id, page_index, subject, len(blocks)::INTEGER AS n_blocks, sha1({JOINED}) AS blocks_sha1, target_text, has_math, has_table, flags, split FROM page_records WHERE split IS NOT NULL",
+    "build_counters": f"""WITH {TIDY}, kept AS (SELECT min(doc_id) AS doc_id FROM tidy GROUP BY sha1), {CHUNKS_NFC}, {PACK},
+        p AS (SELECT doc_id, {strip('array_to_string(list(chunk ORDER BY k), chr(10))')} AS t FROM packed WHERE doc_id IN (SELECT doc_id FROM kept) GROUP BY doc_id, page), q AS (SELECT {_SIMPLE_SPLIT} AS split, t, {flags('t')} AS f FROM p WHERE t <> '')
+        SELECT (SELECT count(*) FROM documents) AS docs_seen, (SELECT count(*) FROM documents) - (SELECT count(*) FROM tidy) AS empty, (SELECT count(*) FROM tidy) - (SELECT count(*) FROM kept) AS dedup_skipped, (SELECT count(*) FROM kept) AS docs_processed,
+        count(*) AS pages, count(*) FILTER (split = 'train') AS pages_train, count(*) FILTER (split = 'val') AS pages_val, count(*) FILTER (split = 'test') AS pages_test, count(*) FILTER (f & 1 > 0) AS math_pages, count(*) FILTER (f & 2 > 0) AS table_pages, count(*) FILTER (length(t) < 20) AS short_pages FROM q""",
+    "stream_windows": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2",
+    "parse_cases": r"""SELECT * FROM (VALUES (0, 0, 'paragraph', 'One.'), (0, 1, 'paragraph', 'Two \(x=1\) costs $5.'), (1, 0, 'paragraph', 'A'), (1, 1, 'math_display', '\[a+b\]'), (1, 2, 'paragraph', 'B \(c\)'),
+        (2, 0, 'math_display', '\[x\]'), (3, 0, 'paragraph', '\(y^2\)'), (3, 1, 'paragraph', 'tail'), (4, 0, 'table', 'a' || chr(9) || 'b' || chr(10) || '1' || chr(9) || '2'), (4, 1, 'paragraph', 'after'),
+        (5, 0, 'paragraph', 'One two'), (5, 1, 'table', 'a' || chr(9) || 'b'), (6, 0, 'paragraph', 'only & text'), (7, 0, 'paragraph', 'bold in out'), (8, 0, 'paragraph', 'price $10 and $20'), (9, 0, 'paragraph', 'a | b' || chr(10) || 'no rule'),
+        (11, 0, 'math_display', '\[x\]'), (11, 1, 'math_display', '\[y\]')) v(doc_id, pos, kind, target)""",
 }

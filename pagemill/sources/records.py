@@ -24,6 +24,19 @@ def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None
     return reader.text(paths).select(F.col("_metadata.file_path").alias("source_file"), F.make_valid_utf8("value").alias("value"))
 
 
+def resolved(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The files and folders that some patterns name, each once and in order; a pattern that names nothing is an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found: set[str] = set()
+    for pattern in patterns:
+        place = path(pattern)
+        hits = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+        if not hits:
+            raise FileNotFoundError(pattern)
+        found |= {h.getPath().toString() for h in hits}
+    return sorted(found)
+
+
 def strict_json(c: Column) -> Column:
     """The one JSON value of a string as a variant; null if it is malformed or anything follows the value.
 
@@ -36,14 +49,25 @@ def strict_json(c: Column) -> Column:
     return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
 
 
-def parsed(lines: DataFrame, line: str = "line", policy: str = "skip", file: str = "source_file", order: str = "line_no") -> DataFrame:
+def as_object(record: Column) -> Column:
+    """A JSON value that is no object becomes the ``text`` of one."""
+    wrapped = F.try_parse_json(F.concat(F.lit('{"text":'), F.to_json(record), F.lit("}")))
+    return F.when(F.schema_of_variant(record).startswith("OBJECT"), record).otherwise(wrapped)
+
+
+def parsed(lines: DataFrame, line: str = "line", policy: str = "skip", file: str = "source_file", order: str = "line_no", required: str | None = None) -> DataFrame:
     """Lines with ``record`` (variant) and ``reject_reason``; blank lines are left out.
 
+    With ``required``, a record whose field of that name is missing or empty is rejected as ``empty``.
+
     The policy says what a malformed line does: ``skip`` drops it, ``count`` keeps it with its reason, ``fail_file``
     drops it and the rest of its file.
     """
     rows = lines.where(strip(F.col(line)) != "").withColumn("record", strict_json(F.col(line)))
-    rows = rows.withColumn("reject_reason", F.when(F.col("record").isNull(), "malformed"))
+    reason = F.when(F.col("record").isNull(), "malformed")
+    if required:
+        reason = reason.when(F.coalesce(F.try_variant_get("record", f"$.{required}", "string"), F.lit("")) == "", "empty")
+    rows = rows.withColumn("reject_reason", reason)
     if policy == "count":
         return rows
     if policy == "fail_file":
@@ -111,9 +135,20 @@ def read_chat(spark: SparkSession, path: str) -> DataFrame:
 
 
 def estimated_rows(spark: SparkSession, path: str, sample_bytes: int = 4 << 20) -> int:
-    """Rows of uncompressed text by the mean line length of a sample; an estimate for planning."""
-    files = spark.read.format("binaryFile").load(path).select("length")
+    """Rows of uncompressed text: the line ends in the first ``sample_bytes`` of its first file, carried on to the size of all.
+
+    Exact for one file within the sample; an estimate for planning beyond it.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length").orderBy("path")
     total = files.agg(F.sum("length")).first()[0] or 0
-    lines = spark.read.text(path)
-    head = lines.select((F.octet_length("value") + 1).alias("n")).limit(20_000).agg(F.avg("n")).first()[0] or 1
-    return round(total / head)
+    head = files.first()
+    if head is None:
+        return 0
+    place = jvm.org.apache.hadoop.fs.Path(head["path"])
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        sample = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(int(head["length"]), sample_bytes)))
+    finally:
+        stream.close()
+    return round(sample.count(b"\n") / len(sample) * total)
