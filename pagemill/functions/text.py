@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.udfs import html_unescape, nfc, unwrap
+from pagemill.functions.udfs import boundaries, html_unescape, nfc, unwrap
 
 #: Every white space of Unicode, for a regex class; Java's \\s is ASCII only.
 SPACES = r"\s\x0B\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -150,12 +150,9 @@ def paragraph_chunks(c: Column, max_chars: int = 420) -> Column:
 def safe_boundaries(c: Column) -> Column:
     """Positions where a text may be cut: 0, after a line end, after an end mark before a blank or line end, its length.
 
-    The text is split there once and the lengths added up; no character is looked up by its position.
+    In Arrow batches: a running sum over a text's parts would copy its array for each of them in Spark's own functions.
     """
-    parts = F.split(c, r"(?<=\n)|(?<=[.!?。！？])(?=[ \n])", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("marks"))
-    step = lambda s, part: F.struct((s["at"] + F.length(part)).alias("at"), F.array_append(s["marks"], s["at"] + F.length(part)).alias("marks"))
-    return F.array_distinct(F.aggregate(parts, start, step, lambda s: s["marks"]))
+    return boundaries(c)
 
 
 def escape_html(c: Column) -> Column:

@@ -62,12 +62,16 @@ def reduced_seed(*parts: object) -> int:
 TASK_WEIGHTS = {"full_ocr": 0.60, "optical_continuation": 0.10, "span_reconstruction": 0.20, "text_replay": 0.10}
 
 
+_BOUNDARY = re.compile(r"\n|[.!?。！？](?=[ \n])")
+
+
 def boundaries_of(text: str) -> list[int]:
-    marks = {0, len(text)}
-    for i, ch in enumerate(text):
-        if ch == "\n" or (ch in ".!?。！？" and text[i + 1 : i + 2] in (" ", "\n")):
-            marks.add(i + 1)
-    return sorted(marks)
+    return sorted({0, *(m.end() for m in _BOUNDARY.finditer(text)), len(text)})
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def boundaries(s: pd.Series) -> pd.Series:
+    return s.map(boundaries_of, na_action="ignore")
 
 
 def build_task(name: str, text: str, rng: random.Random) -> dict:
